@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelloom.llm import decontaminate, exact_dedup, mixing, url_filter
+from modelloom.llm import decontaminate, exact_dedup, mixing, substring_dedup, url_filter
 from modelloom.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(documents(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -51,6 +55,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM r),
+k AS (SELECT d.doc_id, list(w[t.p] ORDER BY t.p) AS kept
+      FROM d, unnest(generate_series(1, len(w))) AS t(p) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.p = t.p) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(kept), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH r(rule_host, rule_path, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -69,8 +85,8 @@ FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op6_url_filter, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op8_mixing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_url_filter": OP6_SQL, "op10_exact_dedup": OP10_SQL}
