@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelloom.llm import decontaminate, exact_dedup, mixing, substring_dedup, url_filter
+from modelloom.llm import decontaminate, exact_dedup, mixing, simhash, substring_dedup, url_filter
 from modelloom.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(documents(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -85,7 +90,7 @@ FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op7_simhash, op8_mixing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
