@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelloom.llm import decontaminate, exact_dedup, mixing, simhash, substring_dedup, url_filter
+from modelloom.llm import decontaminate, exact_dedup, mixing, simhash, substring_dedup, token_output, url_filter
 from modelloom.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -90,7 +94,7 @@ FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op7_simhash, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op7_simhash, op8_mixing, op9_token_output, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
