@@ -127,7 +127,7 @@ def _write(model: str, end_id: int, shard_tokens: int, most_kept: int):
         def flush():
             data = np.frombuffer(b"".join(parts), "<u4")
             out = encode(data, ids, np.cumsum(sizes), encoder.bits)
-            return pa.record_batch([pa.array([part]), pa.array([shard]), pa.array([before]), pa.array([len(data)]), pa.array([len(ids)]), pa.array([out], pa.binary())], names=["part", "shard", "before", "tokens", "docs", "file"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before]), pa.array([len(data)]), pa.array([len(ids)]), pa.array([out], pa.binary())], names=["part", "shard", "before", "tokens", "docs", "file"])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
