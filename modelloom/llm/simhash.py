@@ -36,8 +36,6 @@ from modelloom.llm.common import saved
 from modelloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS, CHAIN, BLOCK = 4, 42, 4, 9, 4, 4096
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +45,7 @@ def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, seed: int)
     # Words at equal distances: one space after each, nothing else between.
     inside = (data != 32) & ((data < 9) | (data > 13))
     after = end[:-1][row[:-1] == row[1:]] if len(end) else end
-    flat = np.where(inside, _LOWER[data], np.uint8(32))
+    flat = np.where(inside, A.LOWER[data], np.uint8(32))
     flat[after] = 32
     keep = inside
     keep[after] = True
@@ -158,9 +156,10 @@ def _forest(fps: np.ndarray, distance: int, segments: int) -> tuple[list, list]:
 def _links(distance: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows of a key are in one partition."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         key, fp = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         order = np.lexsort((fp, key))
         key, fp = key[order], fp[order]

@@ -3,12 +3,13 @@
 A word goes if a window of `window` words that covers it starts anywhere else too. Windows of half
 that length come first, and only those that are repeated at that length are extended to twice it.
 
-Level 1 looks at the half windows that matter: of the half windows inside each full window, the one
-of least hash (the first of equals), its anchor. Equal full windows have the same anchor at the same
-place, so a full window can only be repeated if its anchor is. Anchors are a tenth of all positions.
+Level 1 looks at the half windows that matter: of the half windows inside each full window, one of
+least hash, its anchor. Equal full windows have equal anchors, so a full window can only be repeated
+if its anchor is, or if its least half window is there twice inside it. Of equals, a hash of the
+place in the document picks, so that anchors are a tenth of all positions in a run of one word too.
 Level 2 extends the anchors that occur twice or more: all full windows that have one of them as
-anchor are compared, by anchor, place in the window and a 64-bit hash of the window. No longer
-window changes what is covered, so the doubling ends there.
+anchor are compared, by the anchor's 64-bit hash and a 64-bit hash of the window. No longer window
+changes what is covered, so the doubling ends there.
 
 An anchor that occurs over `hot` times isn't gathered in one task: its windows are counted with
 partial sums and the counts joined back.
@@ -35,8 +36,16 @@ from modelloom.llm.common import dropped, released, saved
 WINDOW, HOT = 35, 10_000
 
 
-def _anchors(window: int):
+def _least(h: np.ndarray, base: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of half windows, the anchor of each full window, whether its half window is there twice)."""
     half = (window + 1) // 2
+    grams = A.run_hashes(h, half)
+    order = A.mixed((np.arange(len(grams)) - base[row[: len(grams)]]).astype(A.U64))
+    return grams, *A.least_of(grams, window - half + 1, order)
+
+
+def _read(window: int):
+    """Anchors (those of a half window that its window has twice, twice), number of words and the hash of all words joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,82 +53,81 @@ def _anchors(window: int):
                 start, stop, row = A.word_spans(data, offsets)
                 n = np.bincount(row, minlength=end - first)
                 base = np.concatenate([[0], np.cumsum(n)])
-                h = A.word_hashes(data, start, stop)
-                least = A.least_of(A.run_hashes(h, half), window - half + 1)
-                whole = row[: len(least)] == row[window - 1 : window - 1 + len(least)] if len(least) else np.zeros(0, bool)
-                at = np.unique(least[whole])
+                grams, least, twice = _least(A.word_hashes(data, start, stop), base, row, window)
+                whole = row[: len(least)] == row[window - 1 : window - 1 + len(least)]
+                at = np.sort(np.concatenate([np.unique(least[whole]), np.unique(least[whole & twice])]))
                 own = row[at]
                 count = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=end - first))])
-                grams = A.run_hashes(h, half)[at].view(np.int64)
                 part = b.slice(first, end - first)
+                sha = [hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in part["text"].cast(pa.large_binary()).to_pylist()]
                 yield pa.record_batch(
-                    [part["doc_id"], part["key"], pa.array(n.astype(np.int64)), A.lists((at - base[own]).astype(np.int32), count), A.lists(grams, count)],
-                    names=["doc_id", "key", "n_words", "at", "gram"],
+                    [part["doc_id"], part["key"], pa.array(n.astype(np.int64)), A.lists((at - base[own]).astype(np.int32), count), A.lists(grams[at].view(np.int64), count), pa.array(sha, pa.string())],
+                    names=["doc_id", "key", "n_words", "at", "gram", "sha"],
                 )
 
     return run
 
 
-def _windows(window: int):
-    """Of each anchor, the windows that have it: their place (words before the anchor) and hash."""
-    half = (window + 1) // 2
-    slack = window - half
+def _windows(window: int, hot: bool):
+    """Of each anchor that is hot, or isn't: the windows that have it, as bits for their places (words before the anchor), and their hashes by place."""
+    slack = window - (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = b["marks"]
-            mark_offsets = np.asarray(marks.offsets, np.int64)
-            fields = marks.values.flatten()
-            m_at, m_gram, m_n = (fields[i].to_numpy(zero_copy_only=False) for i in range(3))
+            ends = np.asarray(marks.offsets, np.int64)
+            m_at, m_gram, m_hot = (x.to_numpy(zero_copy_only=False) for x in marks.values.flatten())
             for first, end, data, offsets in A.chunks(b["text"]):
                 start, stop, row = A.word_spans(data, offsets)
                 base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))])
                 h = A.word_hashes(data, start, stop)
                 full = A.run_hashes(h, window, seed=1).view(np.int64)
-                least = A.least_of(A.run_hashes(h, half), slack + 1)
-                lo, hi = mark_offsets[first], mark_offsets[end]
-                own = np.repeat(np.arange(first, end), np.diff(mark_offsets[first : end + 1]))
-                at = m_at[lo:hi] + base[own - first]
-                # windows at at - slack .. at, inside the row, whose least half window is at `at`
-                p = at[:, None] - np.arange(slack + 1)[None, :]
-                fits = (p >= base[own - first][:, None]) & (p + window <= base[own - first + 1][:, None])
+                _, least, _ = _least(h, base, row, window)
+                lo, hi = ends[first], ends[end]
+                pick = np.flatnonzero(m_hot[lo:hi].astype(bool) == hot)
+                own = np.repeat(np.arange(end - first), np.diff(ends[first : end + 1]))[pick]
+                rel, gram = m_at[lo:hi][pick], m_gram[lo:hi][pick]
+                at = rel + base[own]
+                # windows at at - slack .. at, inside the row, whose anchor is at `at`
+                p = at[:, None] - np.arange(slack + 1)
+                fits = (p >= base[own][:, None]) & (p + window <= base[own + 1][:, None])
                 safe = np.where(fits, p, 0)
-                if len(least):
-                    fits &= least[np.minimum(safe, len(least) - 1)] == at[:, None]
-                else:
-                    fits[:] = False
+                fits &= least[safe] == at[:, None] if len(least) else False
                 count = np.concatenate([[0], np.cumsum(fits.sum(1))])
+                bits = (fits.astype(np.int64) << np.arange(slack + 1)).sum(1)
+                rid = b["rid"].to_numpy()[first:end][own]
                 yield pa.record_batch(
-                    [
-                        b["doc_id"].take(pa.array(own)), b["key"].take(pa.array(own)), pa.array(m_at[lo:hi]), pa.array(m_gram[lo:hi]), pa.array(m_n[lo:hi]),
-                        A.lists(np.broadcast_to(np.arange(slack + 1, dtype=np.int32), fits.shape)[fits], count), A.lists(full[safe[fits]] if len(full) else np.zeros(0, np.int64), count),
-                    ],
-                    names=["doc_id", "key", "at", "gram", "n", "place", "hash"],
-                )
+                    [pa.array(rid), pa.array(rel), pa.array(gram), pa.array(bits), A.lists(full[safe[fits]] if len(full) else np.zeros(0, np.int64), count)],
+                    names=["rid", "at", "gram", "bits", "hash"],
+                )
 
     return run
 
 
+def _places(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each bit that is set, by row and place."""
+    return np.nonzero((bits[:, None] >> np.arange(64)) & 1)
+
+
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a gram are in one partition: the places of each anchor whose window is there twice, as bits."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """All rows of a gram are in one partition: for each anchor, the places of windows that are there twice."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
-    place, value = table["place"].combine_chunks(), table["hash"].combine_chunks()
-    n = np.diff(np.asarray(place.offsets, np.int64))
-    own = np.repeat(np.arange(table.num_rows), n)
-    places, values = place.flatten().to_numpy(), value.flatten().to_numpy()
-    grams = table["gram"].combine_chunks().to_numpy()[own]
-    order = np.lexsort((values, places, grams))
-    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (values, places, grams)])
-    twice = np.zeros(len(order) + 1, bool)
-    twice[1:-1] = same
+    table = pa.Table.from_batches(parts)
+    table = table.combine_chunks()
+    own, places = _places(table["bits"].to_numpy())
+    values = table["hash"].combine_chunks().flatten().to_numpy()
+    grams = table["gram"].to_numpy()[own]
+    order = np.lexsort((values, grams))
+    same = (values[order][1:] == values[order][:-1]) & (grams[order][1:] == grams[order][:-1])
+    edge = np.zeros(len(order) + 1, bool)
+    edge[1:-1] = same
     hit = np.zeros(len(order), bool)
-    hit[order] = twice[1:] | twice[:-1]
+    hit[order] = edge[1:] | edge[:-1]
     bits = np.zeros(table.num_rows, np.int64)
     np.bitwise_or.at(bits, own[hit], np.int64(1) << places[hit].astype(np.int64))
-    out = table.select(["doc_id", "key", "at"]).append_column("bits", pa.array(bits)).filter(pa.array(bits != 0))
-    yield from out.combine_chunks().to_batches()
+    yield from table.select(["rid", "at"]).append_column("bits", pa.array(bits)).filter(pa.array(bits != 0)).combine_chunks().to_batches()
 
 
 def _kept(window: int):
@@ -131,7 +139,7 @@ def _kept(window: int):
             for i, text in enumerate(b["text"].cast(pa.large_binary()).to_pylist()):
                 words = (text or b"").split()
                 own, set_bits = at[mark[i] : mark[i + 1]].astype(np.int64), bits[mark[i] : mark[i + 1]]
-                which, place = np.nonzero((set_bits[:, None] >> np.arange(64)) & 1)
+                which, place = _places(set_bits)
                 p = own[which] - place
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, p, 1)
@@ -141,64 +149,56 @@ def _kept(window: int):
                 texts.append(b" ".join(compress(words, keep)))
             sha = [hashlib.sha256(t).hexdigest() for t in texts]
             yield pa.record_batch(
-                [b["doc_id"], b["key"], pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())],
-                names=["doc_id", "key", "n_removed", "kept", "sha"],
+                [b["rid"], pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())],
+                names=["rid", "n_removed", "kept", "sha"],
             )
 
     return run
 
 
-def _read(window: int):
-    """Anchors, number of words and the hash of all words joined by a space."""
-    anchors = _anchors(window)
-
-    def run(batches):
-        for b in batches:
-            parts = list(anchors(iter([b])))
-            sha = [hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in b["text"].cast(pa.large_binary()).to_pylist()]
-            at = 0
-            for p in parts:
-                yield pa.record_batch([*p.columns, pa.array(sha[at : at + p.num_rows], pa.string())], names=[*p.schema.names, "sha"])
-                at += p.num_rows
-
-    return run
-
-
 def _repeats(docs: DataFrame, window: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all, some, marks): each row's n_words and sha; rows with a repeated anchor and their texts; their repeated windows."""
+    """(all, some, marks): each row's rid, doc_id, n_words and sha; rows with a repeated anchor and their texts; their repeated windows."""
     if not 2 <= window <= 126:
         raise ValueError("window: 2 to 126 words")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    every = saved(base.mapInArrow(_read(window), f"doc_id {id_type}, key long, n_words long, at array<int>, gram array<long>, sha string"), "anchors")
-    flat = every.select("doc_id", "key", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("doc_id", "key", "x.at", "x.gram")
-    counts = flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    again = flat.join(counts, "gram").groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "gram", "n")).alias("marks"))
-    again = again.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "marks")
-    some = saved(base.join(again, base["doc_id"].eqNullSafe(again["_doc"]) & (base["key"] == again["_key"])).select("doc_id", "key", "text", "marks"), "some")
-    released(docs.sparkSession)
-    wide = some.mapInArrow(_windows(window), f"doc_id {id_type}, key long, at int, gram long, n long, place array<int>, hash array<long>")
-    wide = saved(wide, "windows")
-    cold = wide.filter(F.col("n") <= hot).select("doc_id", "key", "at", "gram", "place", "hash").repartition("gram")
-    marks = cold.mapInArrow(_twice, f"doc_id {id_type}, key long, at int, bits long")
-    warm = wide.filter(F.col("n") > hot)
-    if not warm.isEmpty():
-        flat = warm.select("doc_id", "key", "at", "gram", F.explode(F.arrays_zip("place", "hash")).alias("x")).select("doc_id", "key", "at", "gram", "x.place", "x.hash")
-        often = flat.groupBy("gram", "place", "hash").agg(F.count("*").alias("c")).filter("c > 1")
-        met = flat.join(often, ["gram", "place", "hash"])
-        marks = marks.unionByName(met.select("doc_id", "key", "at", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place")).alias("bits")))
+    every = base.mapInArrow(_read(window), f"doc_id {id_type}, key long, n_words long, at array<int>, gram array<long>, sha string")
+    every = saved(every.withColumn("rid", F.monotonically_increasing_id()), "anchors")  # numbered once, in the table
+    flat = every.select("rid", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("rid", "x.at", "x.gram")
+    counts = saved(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > hot).alias("hot")), "counts")
+    released(spark)
+    again = flat.join(counts, "gram").groupBy("rid").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("marks"))
+    again = saved(again.join(every.select("rid", F.col("doc_id").alias("_doc"), F.col("key").alias("_key")), "rid"), "again")
+    released(spark)
+    # Rows that repeat doc_id and text meet each other's marks, which are the same: one of each stays.
+    text = base.groupBy("doc_id", "key").agg(F.first("text").alias("text")) if _has_repeats(every) else base
+    some = again.join(text, text["doc_id"].eqNullSafe(again["_doc"]) & (text["key"] == again["_key"])).select("rid", "text", "marks")
+    some = saved(some, "some")
+    hottest = not counts.filter("hot").isEmpty()
+    dropped(again, counts)
+    released(spark)
+    schema = "rid long, at int, gram long, bits long, hash array<long>"
+    marks = some.mapInArrow(_windows(window, False), schema).repartition("gram").mapInArrow(_twice, "rid long, at int, bits long")
+    if hottest:
+        warm = some.mapInArrow(_windows(window, True), schema)
+        places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda r: F.getbit(F.col("bits"), r) == 1)
+        flat = warm.withColumn("place", places).select("rid", "at", "gram", F.explode(F.arrays_zip("place", "hash")).alias("x")).select("rid", "at", "gram", "x.place", "x.hash")
+        often = flat.groupBy("gram", "hash").agg(F.count("*").alias("c")).filter("c > 1")
+        met = flat.join(often, ["gram", "hash"])
+        marks = marks.unionByName(met.select("rid", "at", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place")).alias("bits")))
     return every, some, marks
 
 
+def _has_repeats(every: DataFrame) -> bool:
+    return not every.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the text left, null if nothing was removed), kept_sha256."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     every, some, marks = _repeats(docs, window, hot)
-    found = marks.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "bits")).alias("found"))
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "found")
-    cut = some.join(found, some["doc_id"].eqNullSafe(found["_doc"]) & (some["key"] == found["_key"])).select("doc_id", "key", "text", "found")
-    cut = cut.mapInArrow(_kept(window), f"doc_id {id_type}, key long, n_removed long, kept string, sha string").dropDuplicates(["doc_id", "key"])
-    cut = cut.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "n_removed", "kept", F.col("sha").alias("cut_sha"))
-    return every.join(cut, every["doc_id"].eqNullSafe(cut["_doc"]) & (every["key"] == cut["_key"]), "left").select(
+    found = marks.groupBy("rid").agg(F.collect_set(F.struct("at", "bits")).alias("found"))
+    cut = some.select("rid", "text").join(found, "rid").select("rid", "text", "found")
+    cut = cut.mapInArrow(_kept(window), "rid long, n_removed long, kept string, sha string").withColumnRenamed("sha", "cut_sha")
+    return every.join(cut, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("cut_sha", "sha").alias("kept_sha256")
     )

@@ -54,9 +54,17 @@ def chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each word; words are what ASCII white space leaves."""
-    solid = (data != 32) & ((data < 9) | (data > 13))
+#: ASCII letters in lower case, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: ASCII letters and all bytes of other characters; the same with digits.
+LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
+ITEM = LETTER | np.array([48 <= b < 58 for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each word; words are what ASCII white space leaves, or runs of the bytes that kind marks."""
+    solid = (data != 32) & ((data < 9) | (data > 13)) if kind is None else kind[data]
     edge = np.ones(len(data) + 1, bool)  # nothing before, or white space, or another row
     edge[1:-1] = ~solid[:-1]
     edge[offsets] = True
@@ -68,11 +76,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """What part_hashes needs of the bytes."""
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    np.cumsum(_BYTES[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def part_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U64))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return part_hashes(byte_sums(data), start, end)
 
 
 def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -85,18 +101,22 @@ def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
 
 
-def least_of(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i up to the last full run: where the least of values[i : i + width] is, the first of equals."""
+def least_of(values: np.ndarray, width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i up to the last full run: where the least of values[i : i + width] is, and whether it is there twice. Of equals, the one of least order."""
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    at, span = np.arange(len(values)), 1
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    at, twice, span = np.arange(len(values)), np.zeros(len(values), bool), 1
     while span < width:
         step = min(span, width - span)
         a, b = at[: len(at) - step], at[step:]
-        at = np.where(values[b] < values[a], b, a)
+        x, y = values[a], values[b]
+        equal = x == y
+        right = (y < x) | (equal & (order[b] < order[a]))
+        twice = np.where(equal, twice[: len(a)] | twice[step:] | (a != b), np.where(right, twice[step:], twice[: len(a)]))
+        at = np.where(right, b, a)
         span += step
-    return at
+    return at, twice
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
