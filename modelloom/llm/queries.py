@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelloom.llm import decontaminate, exact_dedup, mixing, simhash, substring_dedup, token_output, url_filter
+from modelloom.llm import decontaminate, exact_dedup, language_id, mixing, quality, simhash, substring_dedup, token_output, toxicity, url_filter
 from modelloom.llm.common import documents
+from modelloom.llm.sampling import fold
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,26 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 3) == 1
+    model = toxicity.learnt(docs, documents(spark, sf_dir, "labels").filter(~held_out))
+    out = toxicity.toxicity(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 0
+    model = quality.learnt(docs, documents(spark, sf_dir, "labels").filter(~held_out))
+    out = quality.quality(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2
+    model = language_id.learnt(docs, docs.filter(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(documents(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -94,7 +115,7 @@ FROM (SELECT doc_id, {_LOWER} AS t FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op6_url_filter, op7_simhash, op8_mixing, op9_token_output, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_toxicity, op4_quality, op5_language_id, op6_url_filter, op7_simhash, op8_mixing, op9_token_output, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
