@@ -216,8 +216,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dista
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, with the least doc_id of each component. Rows that repeat that doc_id and text: one stays."""
+    """The rows of docs, all columns, with the least doc_id of each component. Of rows that repeat that doc_id, one stays."""
     groups = near_groups(docs, **options)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("n"))
+    keep = saved(keep, "keep")
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    # Rows that repeat a doc_id are rare: only they need a look at each other.
+    return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
