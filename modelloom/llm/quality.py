@@ -107,7 +107,7 @@ def train(texts: list[tuple[int, str]]) -> Crf | None:
 def _score(model: Crf | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, stop, data, offsets in A.chunks(b["text"], 4 << 20):
+            for first, stop, data, offsets in A.chunks(b["text"], 2 << 20):
                 n = stop - first
                 x, row, size = features(data, offsets)
                 p = np.full(len(row), 0.5) if model is None else model.marginals(model.scores(x), _first(row))

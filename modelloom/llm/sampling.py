@@ -17,8 +17,12 @@ def sample(docs: DataFrame, labelled: DataFrame, label: str, most: int) -> list[
     labelled: doc_id and the label, only rows that may be learnt from.
     """
     ids = labelled.select("doc_id", F.col(label).alias("_label")).filter("doc_id IS NOT NULL AND _label IS NOT NULL").dropDuplicates(["doc_id"])
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(F.col("doc_id").alias("_doc"), "_label", F.xxhash64("doc_id").alias("_order"))
+    # First within parts of a label, so that a label with most rows is no task of its own.
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))
+    for by in (["_label", part], ["_label"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = ids.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    ids = ids.select(F.col("doc_id").alias("_doc"), "_label", F.xxhash64("doc_id").alias("_order"))
     found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_doc")).filter("text IS NOT NULL")
     rows = found.select("_label", "text", "_order", "doc_id").collect()
     return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2], r[3], r[1]))]

@@ -8,7 +8,7 @@ fitted field give each word's probability. A document's score is 1 - exp(-c), c
 of toxic words (of those at `floor` or more, so that a long clean text does not add up), and its
 spans are the words at 0.5 or more, as offsets in characters.
 
-The model is fitted on a bounded sample: `most` toxic documents and five
+The model is fitted on a bounded sample: `most` toxic documents and four
 times as many others. With no sample of either
 label, all scores are 0. Null, empty and wordless texts score 0 and have no spans. Rows are judged
 one by one, repeats alike; other columns are ignored; an empty table gives an empty result.
@@ -27,8 +27,8 @@ from modelloom.llm import textarrays as A
 from modelloom.llm.crf import Crf, fit
 from modelloom.llm.sampling import sample
 
-BITS = 21
-SIZE, MOST, OTHERS, FLOOR = 1 << BITS, 1200, 5, 0.05
+BITS = 20
+SIZE, MOST, OTHERS, FLOOR = 1 << BITS, 1000, 4, 0.05
 #: A word to learn from: so many times more frequent in toxic documents, and so unlikely by chance (Chernoff's bound on the log).
 RATIO, UNLIKELY = 10.0, 7.0
 #: Which columns of features() name the word or its beginning: word, 5, 4.
@@ -114,7 +114,7 @@ def train(texts: list[tuple[int, str]], size: int = SIZE) -> Crf | None:
 def _tag(model: Crf | None, floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, stop, data, offsets in A.chunks(b["text"], 4 << 20):
+            for first, stop, data, offsets in A.chunks(b["text"], 2 << 20):
                 n = stop - first
                 score, count = np.zeros(n), np.zeros(n + 1, np.int64)
                 begin = finish = np.zeros(0, np.int64)
