@@ -143,7 +143,7 @@ def _tag(model: Model | None, penalty: float, bound: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, stop, data, offsets in A.chunks(b["text"], 4 << 20):
+            for first, stop, data, offsets in A.chunks(b["text"]):
                 n = stop - first
                 names, share = np.full(n, UND, object), np.zeros(n)
                 begin = finish = count = np.zeros(0, np.int64)
