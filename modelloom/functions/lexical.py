@@ -1,0 +1,207 @@
+"""Lexical columns: compound splitting, tokens, lemmas, concepts, keyword tags, repairs. All JVM-side."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Closed-class words and modelling boilerplate that carry no concept.
+FUNCTION_WORDS = """a an the this that these those of in on at to for from by with without within and or not nor but so as
+is are be been being am was were has have had do does did will would shall should can could may might must if then else when
+while where which who whom whose what how than into over under between among per each every all any some no none both either
+neither such same other another its it their our your his her my we you they he she them us him me i here there about above
+below up down out off only also more most less least very much many few several whether due via given using used use uses""".split()
+DOMAIN_WORDS = """constraint constraints variable variables parameter parameters model models problem problems formulation
+formulations objective set sets index indices value values number numbers term terms equation equations expression decision
+define defines defined definition denote denotes let given total""".split()
+STOP_WORDS = sorted({*FUNCTION_WORDS, *DOMAIN_WORDS})
+
+# Irregular forms.
+IRREGULAR = {
+    "indices": "index", "matrices": "matrix", "vertices": "vertex", "buses": "bus", "data": "datum", "feet": "foot",
+    "men": "man", "women": "woman", "analyses": "analysis", "bases": "basis", "axes": "axis", "is": "be", "are": "be",
+    "was": "be", "were": "be", "has": "have", "running": "run",
+}
+
+# Concepts and the phrases that stand for them; of a phrase under two concepts, the first holds.
+FAMILIES = {
+    "headway": "headway, spacing, separation time, time separation",
+    "rolling_stock": "rolling stock, rollingstock, trainset, train set, fleet",
+    "precedence": "precedence, ordering, order, sequencing, overtaking, overtake",
+    "capacity": "capacity, throughput, track capacity, block capacity",
+    "timing": "timing, schedule, timetable, departure, arrival, dwell",
+    "delay": "delay, lateness, tardiness, deviation",
+    "routing": "routing, route, path, itinerary, rerouting",
+    "assignment": "assignment, allocation, matching, covering",
+    "flow": "flow, flow conservation, flow balance, conservation",
+    "demand": "demand, passenger demand, load, requirement",
+    "cost": "cost, weight, penalty, price, expense",
+    "robust": "robust, robustness, recoverable, uncertainty",
+    "periodic": "periodic, cyclic, pesp, period",
+    "platform": "platform, track, siding",
+    "block": "block, block section, section, moving block",
+    "conflict": "conflict, incompatible, incompatibility, clash",
+    "rescheduling": "rescheduling, reschedule, dispatching, dispatch, disruption",
+}
+
+# Keyword patterns of constraint types.
+TYPE_PATTERNS = {
+    "ordering": r"\bprecedence\b|\border\b|\bordering\b|\bovertaking\b|\bovertake\b|\bre-?ordering\b",
+    "routing": r"\broute\s+selection\b|\brouting\b|\brerouting\b|\bre-?routing\b",
+    "timing": r"\bdepart(ure)?\b|\bdwell\b|\bdelay\b|\bscheduled\b|\brunning\s+time\b|\bminimum\s+duration\b|\bre-?timing\b",
+    "cancellation": r"\bcancel(l?ation|l?ed|l?ing)?\b|\btrain\s+service\s+balance\b|\bunbalanced\s+timetable\b",
+    "headway": r"\bheadway\b|\bconflict-free\b|\bincompatible\s+arc\b|\btrain\s+incompatibility\b",
+    "capacity": r"\binfrastructure\s+capacity\b|\btrack\s+capacity\b|\bstation\s+capacity\b|\bblock\s+section\b|\bsingle-?track\b|\bno-?store\b",
+    "flow_balance": r"\bflow\s+balance\b|\bflow\s+conservation\b",
+    "big_m": r"\blarge\s+constant\b|\bbig-?M\s+constraint\b|\bbig-?M\b",
+    "passenger_connection": r"\bminimum\s+transfer\s+time\b|\bpassenger\s+connection\b",
+    "rolling_stock_connection": r"\brolling\s+stock\s+connection\b",
+}
+
+# Look-alikes and what they stand for; LaTeX gets only the first two of LATEX_REPAIRS.
+REPAIRS = {
+    "\u2212": "-", "\u2013": "-", "\u2014": "-", "\u00d7": "*", "\u00b7": "*", "\u2264": "<=", "\u2265": ">=",
+    "\u00a0": " ", "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u2026": "...",
+}
+LATEX_REPAIRS = {"\u2212": "-", "\u00a0": " "}
+
+
+def split_compounds(text: Column) -> Column:
+    """Lower-case parts of compounds: commands dropped, camel case, letter/digit edges and all else that is no letter or digit split."""
+    text = F.regexp_replace(text, r"\\[A-Za-z]+", " ")
+    text = F.regexp_replace(text, r"([a-z])(?=[A-Z])", "$1 ")
+    text = F.regexp_replace(text, r"([A-Za-z])(?=[0-9])|([0-9])(?=[A-Za-z])", "$1$2 ")
+    text = F.lower(F.regexp_replace(text, "[^0-9A-Za-z]+", " "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def tokenize(text: Column) -> Column:
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    return F.filter(split_compounds(text), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~F.array_contains(stop, t))
+
+
+def lemmatize(token: Column) -> Column:
+    """Irregular forms, then the first suffix rule that fits."""
+    n = F.length(token)
+    irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    cut = lambda k: F.substring(token, F.lit(1), n - k)
+    rule = (
+        F.when(token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when((n > 3) & token.rlike("(s|x|z|ch|sh)es$"), cut(2))
+        .when(token.endswith("s") & ~token.endswith("ss") & (n > 3), cut(1))
+        .when(token.endswith("ing") & (n > 5), cut(3))
+        .when(token.endswith("ed") & (n > 4), cut(2))
+        .otherwise(token)
+    )
+    return F.coalesce(F.element_at(irregular, token), rule)
+
+
+def lemma(word: str) -> str:
+    """lemmatize() for a constant."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    if word.endswith("ies") and len(word) > 4:
+        return f"{word[:-3]}y"
+    if len(word) > 3 and word.endswith(("ses", "xes", "zes", "ches", "shes")):
+        return word[:-2]
+    if len(word) > 3 and word.endswith("s") and not word.endswith("ss"):
+        return word[:-1]
+    for suffix, least in (("ing", 5), ("ed", 4)):
+        if word.endswith(suffix) and len(word) > least:
+            return word.removesuffix(suffix)
+    return word
+
+
+def phrase_index() -> dict[str, str]:
+    """Lemmatized phrase to concept."""
+    out: dict[str, str] = {}
+    for concept, phrases in FAMILIES.items():
+        for phrase in phrases.split(", "):
+            out.setdefault(" ".join(map(lemma, phrase.split())), concept)
+    return out
+
+
+def concepts(text: Column) -> Column:
+    """Concepts in order: phrases of two lemmas before single ones, else the lemma itself."""
+    index = F.create_map(*[F.lit(x) for kv in phrase_index().items() for x in kv])
+    lemmas = F.transform(tokenize(text), lemmatize)
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
+
+    def step(s: Column, w: Column) -> Column:
+        pair = F.element_at(index, F.concat_ws(" ", s["open"], w))
+        closed = F.array_append(s["out"], F.coalesce(F.element_at(index, s["open"]), s["open"]))
+        met = (s["open"] != "") & pair.isNotNull()
+        return F.struct(
+            F.when(met, F.array_append(s["out"], pair)).when(s["open"] == "", s["out"]).otherwise(closed).alias("out"),
+            F.when(met, F.lit("")).otherwise(w).alias("open"),
+        )
+
+    def last(s: Column) -> Column:
+        return F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], F.coalesce(F.element_at(index, s["open"]), s["open"])))
+
+    phrases = F.array(*[F.lit(k) for k in phrase_index() if " " in k])
+    pairs = F.zip_with(lemmas, F.slice(lemmas, 2, F.greatest(F.size(lemmas), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    # The fold copies what it has so far at each step: only texts with a phrase of two words need it.
+    single = F.transform(lemmas, lambda w: F.coalesce(F.element_at(index, w), w))
+    return F.when(F.arrays_overlap(pairs, phrases), F.aggregate(lemmas, state, step, last)).otherwise(single)
+
+
+def type_tags(text: Column) -> Column:
+    """All constraint types whose keywords the text has, in the order of TYPE_PATTERNS."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(t)) for t, p in TYPE_PATTERNS.items()]))
+
+
+def repair_unicode(text: Column, latex: bool = False) -> Column:
+    for a, b in (LATEX_REPAIRS if latex else REPAIRS).items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def bibliographic_key(venue: Column, year: Column, source_id: Column) -> Column:
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w]+", " ")))
+    return F.concat_ws("|", plain(venue), F.coalesce(year.cast("string"), F.lit("")), plain(source_id))
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9_.-]+", "_")
+
+
+def binding_base(expr: Column) -> Column:
+    return F.regexp_extract(expr, r"^\s*([A-Za-z_0-9]+)", 1)
+
+
+def binding_offset(expr: Column) -> Column:
+    """The trailing +n or -n of an index expression; 0 without one."""
+    found = F.regexp_replace(F.regexp_extract(expr, r"([+-]\s*[0-9]+)\s*$", 1), r"[\s+]", "")
+    return F.coalesce(F.when(found != "", found.cast("int")), F.lit(0))
+
+
+def fence_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s)```[ \t]*[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)\r?\n?```"), 1)
+
+
+def dangling_tail(text: Column) -> Column:
+    """Whether the text ends in the middle of an expression."""
+    return F.regexp_replace(text, r"\s+$", "").rlike(r"[\\+\-*/=,(&_^{\[]$")
+
+
+# Content patterns of the formats, with their points, and the order that breaks ties.
+FORMATS = ("json", "latex", "lp", "mps", "gams", "ampl", "jump", "python")
+INDICATORS = {
+    "json": (("^\\s*\\{", 4),),
+    "latex": ((r"\\begin\{", 2), (r"\\(min|max|sum|le|ge|leq|geq|forall|text)\b", 2), (r"(?s)\\.*\\.*\\", 1)),
+    "lp": ((r"(?m)^\s*(Minimize|Maximize|MINIMIZE|MAXIMIZE)\s*$", 3), (r"(?m)^\s*(Subject\s+To|SUBJECT\s+TO|st|s\.t\.)\s*$", 3), (r"(?m)^\s*Bounds\s*$", 1), (r"(?m)^\s*(End|Generals|Binaries|Binary)\s*$", 1)),
+    "mps": ((r"(?m)^\s*ROWS\s*$", 3), (r"(?m)^\s*COLUMNS\s*$", 3), (r"(?m)^\s*RHS\s*$", 1), (r"(?m)^\s*ENDATA\b", 2), (r"(?m)^\s*NAME\b", 1)),
+    "gams": ((r"(?mi)\bsolve\s+\w+\s+using\b", 4), (r"(?mi)^\s*Equations?\b", 2), (r"(?mi)^\s*(Positive\s+|Binary\s+|Integer\s+)?Variables?\b", 1), (r"\.\.", 1)),
+    "ampl": ((r"(?m)^\s*var\s+\w+", 3), (r"(?m)^\s*(minimize|maximize)\s+\w+\s*:", 3), (r"(?m)^\s*(subject\s+to|s\.t\.)\s+\w+\s*:", 2), (r"(?m)^\s*param\s+\w+", 1)),
+    "jump": ((r"@variable\s*\(", 3), (r"@(constraint|objective)\s*\(", 2), (r"\busing\s+JuMP\b", 3), (r"\bModel\s*\(", 1)),
+    "python": ((r"(?m)^\s*(import|from)\s+(pulp|gurobipy|pyomo)\b", 4), (r"\b(LpProblem|ConcreteModel|gp\.Model|addVar|addConstr)\b", 2), (r"(?m)^\s*(def|import|from)\s+\w+", 1)),
+}
+
+
+def format_scores(text: Column) -> Column:
+    """Formats with any points, the most points first, ties in the order of FORMATS: struct(score, format)."""
+    all_of = [
+        F.struct((-sum((F.when(text.rlike(p), n).otherwise(0) for p, n in INDICATORS[f]), F.lit(0))).alias("minus"), F.lit(i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(FORMATS)
+    ]
+    return F.transform(F.filter(F.array_sort(F.array(*all_of)), lambda x: x["minus"] < 0), lambda x: F.struct((-x["minus"]).alias("score"), x["format"].alias("format")))
