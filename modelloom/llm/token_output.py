@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from modelloom.llm.common import saved
 from modelloom.llm.wavelet import WaveletMatrix, encode
 
-END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 800_000
+END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 1_200_000
 #: Letters, then marks: encoded apart, whatever is around them.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -53,8 +52,10 @@ class Encoder:
         self.tokenizer, self.most_kept = Tokenizer.from_str(model), most_kept
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         #: Ids of a run after a space (which is part of them), of one at the start of a line, and of marks.
+        #: Half of what may be kept is of late; what was kept before that is taken over when it is met again.
         self.spaced: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.marks: dict[str, bytes] = {"": b""}
         self.newline = self._plain(["\n"])[0]
 
@@ -71,43 +72,64 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
 
     def _learn(self, spaced: set[str], first: set[str]) -> None:
-        for before, runs, kept in ((" ", spaced, self.spaced), ("", first, self.first)):
+        for before, runs, kept, older in ((" ", spaced, self.spaced, self.older[0]), ("", first, self.first, self.older[1])):
+            again = [r for r in runs if r in older]
+            kept.update(zip(again, map(older.__getitem__, again)))
+            runs = runs.difference(again)
             split = {r: m.groups() for r in runs if (m := _WORD.fullmatch(r))}
             new = list({a for a, _ in split.values()}.difference(kept))
             kept.update(zip(new, self._words([before + a for a in new])))
             marks = list({b for _, b in split.values()}.difference(self.marks))
             self.marks.update(zip(marks, self._plain(marks)))
             for r, (a, b) in split.items():
-                kept[r] = kept[a] + self.marks[b]
-            other = list(runs - split.keys())
+                if b:
+                    kept[r] = kept[a] + self.marks[b]
+            other = list(runs.difference(split))
             kept.update(zip(other, self._plain([before + r for r in other])))
 
     @staticmethod
-    def _lines(t: str) -> list[list[str]]:
-        """Runs by line; a text with white space other than single spaces and line ends between words is one line."""
-        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace() or _OTHER_SPACE.search(t):
-            return [_SAFE.split(t)]
-        return [line.split(" ") for line in t.split("\n")]
+    def _runs(t: str) -> tuple[list[str], list[int]]:
+        """Runs, and where lines begin; a text with white space other than single spaces and line ends between words is one line."""
+        flat = t.replace("\n", " ")
+        runs = flat.split(" ")
+        if "" in runs or not flat.isprintable():
+            return _SAFE.split(t), [0]
+        if flat is t or len(flat) == len(runs[0]):
+            return runs, [0]
+        begins, at = [0], 0
+        for line in t.split("\n")[:-1]:
+            at += line.count(" ") + 1
+            begins.append(at)
+        return runs, begins
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
-            cut = [self._lines(t) for t in texts[at : at + 64]]
-            if len(self.spaced) + len(self.first) + len(self.marks) > self.most_kept:
-                self.spaced.clear()
-                self.first.clear()
+            cut = [self._runs(t) for t in texts[at : at + 64]]
+            if len(self.spaced) + len(self.first) > self.most_kept // 2:
+                self.older, self.spaced, self.first = (self.spaced, self.first), {}, {}
+            if len(self.marks) > self.most_kept // 8:
                 self.marks = {"": b""}
-            spaced, first = set(), set()
-            for lines in cut:
-                for runs in lines:
-                    first.add(runs[0])
-                    spaced.update(runs[1:])
-            spaced, first = spaced.difference(self.spaced), first.difference(self.first)
+            spaced, first, found = set(), set(), []
+            of, of_first = self.spaced.get, self.first.get
+            for runs, begins in cut:
+                parts = list(map(of, runs))
+                for a in begins:
+                    parts[a] = of_first(runs[a])
+                missing = [i for i, x in enumerate(parts) if x is None] if None in parts else []
+                begin = set(begins)
+                for i in missing:
+                    (first if i in begin else spaced).add(runs[i])
+                found.append((parts, missing))
             if spaced or first:
                 self._learn(spaced, first)
-            of = self.spaced.__getitem__
-            for lines in cut:
-                out.append(self.newline.join([b"".join([self.first[runs[0]], *map(of, runs[1:])]) for runs in lines]))
+            for (runs, begins), (parts, missing) in zip(cut, found):
+                begin = set(begins)
+                for i in missing:
+                    parts[i] = (of_first if i in begin else of)(runs[i])
+                for a in begins[1:]:
+                    parts[a] = self.newline + parts[a]
+                out.append(b"".join(parts))
         return out
 
 
