@@ -142,17 +142,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows, pieces = mixed(docs, **options)
     spans = pieces.groupBy("sid", "bucket", "row", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("n"))
     spans = spans.join(rows.select("sid", "bucket", "row", "doc_id", "o", "size"), ["sid", "bucket", "row"])
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("o").alias("_o"), "first", "n", F.col("size").alias("_size"), F.col("pass").alias("_pass"), "sid", "row")
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("o").alias("_o"), F.col("first").alias("_first"), F.col("n").alias("_n"), F.col("size").alias("_size"), F.col("pass").alias("_pass"), F.col("sid").alias("_sid"), F.col("row").alias("_row"))
     base = docs.withColumn("_o2", F.xxhash64("doc_id", "text"))
     on = base["doc_id"].eqNullSafe(spans["_doc"]) & (base["_o2"] == spans["_o"])
     if not rows.groupBy("doc_id", "o").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
         # Rows that repeat doc_id and text differ here by their place only: each gets one.
-        spans = spans.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_o", "_pass").orderBy("sid", "row")))
+        spans = spans.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_o", "_pass").orderBy("_sid", "_row")))
         base = base.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id", "_o2").orderBy("source")))
         on = base["doc_id"].eqNullSafe(spans["_doc"]) & (base["_o2"] == spans["_o"]) & (base["_nth2"] == spans["_nth"])
     met = base.join(spans, on)
-    part = F.array_join(F.slice(words(F.col("text"), SPACE), (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ")
-    text = F.when(F.col("n") == F.col("_size"), F.col("text")).otherwise(part)
+    part = F.array_join(F.slice(words(F.col("text"), SPACE), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
+    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(part)
     met = met.withColumn("text", text)
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
