@@ -140,10 +140,14 @@ def concepts(text: Column) -> Column:
         return F.when(s["open"] == "", s["out"]).otherwise(F.array_append(s["out"], F.coalesce(F.element_at(index, s["open"]), s["open"])))
 
     phrases = F.array(*[F.lit(k) for k in phrase_index() if " " in k])
-    pairs = F.zip_with(lemmas, F.slice(lemmas, 2, F.greatest(F.size(lemmas), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    # The fold copies what it has so far at each step: only texts with a phrase of two words need it.
-    single = F.transform(lemmas, lambda w: F.coalesce(F.element_at(index, w), w))
-    return F.when(F.arrays_overlap(pairs, phrases), F.aggregate(lemmas, state, step, last)).otherwise(single)
+
+    def body(w: Column) -> Column:
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        # The fold copies what it has so far at each step: only texts with a phrase of two words need it.
+        single = F.transform(w, lambda x: F.coalesce(F.element_at(index, x), x))
+        return F.when(F.arrays_overlap(pairs, phrases), F.aggregate(w, state, step, last)).otherwise(single)
+
+    return F.get(F.transform(F.array(lemmas), body), 0)  # the lemmas are evaluated once
 
 
 def type_tags(text: Column) -> Column:

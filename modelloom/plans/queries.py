@@ -229,7 +229,9 @@ def lemmatize(spark, sf_dir):
 
 def _bags(spark, sf_dir, name="documents"):
     key = {"documents": F.col("doc_id"), "benchmark": F.col("item_id")}[name]
-    return table(spark, sf_dir, name).select(key.alias("doc"), F.explode(L.concepts(F.col("text"))).alias("concept")).groupBy("doc", "concept").agg(F.count("*").alias("tf"))
+    # explode() would evaluate the concepts once more, in a filter that Spark puts before it
+    words = table(spark, sf_dir, name).select(key.alias("doc"), F.explode_outer(L.concepts(F.col("text"))).alias("concept")).filter("concept IS NOT NULL")
+    return words.groupBy("doc", "concept").agg(F.count("*").alias("tf"))
 
 
 _SINGLE = {k: v for k, v in L.phrase_index().items() if " " not in k}
