@@ -156,6 +156,28 @@ class Grounder:
         out = keep.join(constant, "row", "left").select("row", "comparator", F.when(F.col("row") == "objective", rhs).otherwise(0.0 - rhs).alias("rhs"))
         return out, sums.filter("var IS NOT NULL AND coef != 0").join(keep.select("row"), "row", "left_semi").select("row", "var", "coef")
 
+    def view(self) -> DataFrame:
+        """id, cls, label, degenerate of the instance graph's nodes: here instances with a reference outside its axis stay, marked."""
+        parts = []
+        for v in self.f["variables"]:
+            keys = [f"k{i}" for i in range(len(v["shape"]))]
+            rows = self._product(list(zip(v["shape"], keys)))
+            ident = F.concat_ws("_", F.lit(f"varinst:{v['name']}"), *[F.concat(F.lit(s), F.col(k).cast("string")) for s, k in zip(v["shape"], keys)])
+            label = F.concat(F.lit(v["name"]), F.lit("["), F.concat_ws(",", *keys), F.lit("]")) if keys else F.lit(v["name"])
+            parts.append(rows.select(ident.alias("id"), F.lit("variable").alias("cls"), label.alias("label"), F.lit(False).alias("degenerate")))
+        for c in self.f["constraints"]:
+            own, scope = self.instances(c), [q["index"] for q in c["quantifiers"]]
+            lost = [y for side, terms in ((1, c["lhs"]), (-1, c["rhs"])) for t in terms for y in [self._occurrences(own, t, scope, side)[1]] if y is not None]
+            rows = own.select("row")
+            if lost:
+                rows = rows.join(reduce(DataFrame.unionByName, lost).distinct().withColumn("_l", F.lit(True)), "row", "left")
+            else:
+                rows = rows.withColumn("_l", F.lit(None).cast("boolean"))
+            parts.append(rows.select(F.concat(F.lit("cinst:"), "row").alias("id"), F.lit("constraint").alias("cls"), F.col("row").alias("label"), F.coalesce("_l", F.lit(False)).alias("degenerate")))
+        if self.f["objective"]:
+            parts.append(self._product([]).select(F.lit("objinst:0").alias("id"), F.lit("objective").alias("cls"), F.lit(self.f["objective"]["name"]).alias("label"), F.lit(False).alias("degenerate")))
+        return reduce(DataFrame.unionByName, parts)
+
     def model(self) -> Model:
         """All of it on the driver, for the small programs that solve() takes."""
         rows, coefs = self.matrix()

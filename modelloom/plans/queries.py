@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from modelloom.functions import lexical as L
 from modelloom.functions import vectors as V
-from modelloom.operators import bigm, checks, corpus, grounding, grouped, metrics, mining, templates, views
-from modelloom.sources import formats, formulations
+from modelloom.operators import bigm, checks, corpus, grounding, grouped, metrics, mining, review, taxonomy, templates, views
+from modelloom.sources import formats, formulations, latex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -549,3 +549,63 @@ def parse_formats(spark, sf_dir):
     """Sample texts of all formats through the readers, and what fails."""
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, ("lp", "mps", "ampl", "jump", "lp"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("fmt"), _sample().alias("text"))
     return formats.parse(d).select("path", "fmt", "stage", "message", F.to_json("model").alias("model"))
+
+
+@query()
+def ground_view(spark, sf_dir):
+    f = formulations.catalog(spark).filter("id = 'spacing'").first()
+    return templates.Grounder(spark, f, {"I": 25}, {"h": 3, "early": [0] * 25}).view()
+
+
+@query()
+def review_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), _sample().alias("text"), F.lit(None).cast("string").alias("fmt"))
+    return review.reviews(d)
+
+
+@query()
+def taxonomy_levels(spark, sf_dir):
+    return taxonomy.induce(formulations.catalog(spark))
+
+
+@query()
+def drawings(spark, sf_dir):
+    f = formulations.catalog(spark)
+    return taxonomy.svg(views.schema_nodes(f), views.schema_edges(f))
+
+
+@query()
+def latex_texts(spark, sf_dir):
+    """fid, text and description; one Python call for each formulation."""
+    f = formulations.catalog(spark)
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+
+        for pdf in batches:
+            docs = [json.loads(x) for x in pdf["doc"]]
+            yield pd.DataFrame({"fid": [d["id"] for d in docs], "text": [latex.write(d) for d in docs], "description": [latex.describe(d) for d in docs]})
+
+    return f.select(F.to_json(F.struct(*[c for c in f.columns if c != "corrupt"])).alias("doc")).mapInPandas(run, "fid string, text string, description string")
+
+
+@query()
+def structure_hashes(spark, sf_dir):
+    return corpus.structure_hash(views.structure_lines(formulations.catalog(spark)), "fid", "kind", "line")
+
+
+@query()
+def isomorphism_classes(spark, sf_dir):
+    """Of customers' order graphs (their orders by status, each with a link to the next), those of one structure, found within equal hashes."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderstatus")).alias("kinds"))
+
+    def one(pdf):
+        import pandas as pd
+
+        graphs = [({i: k for i, k in enumerate(ks)}, [(i, i + 1, "next") for i in range(len(ks) - 1)]) for ks in pdf["kinds"]]
+        least = [next(j for j in range(i + 1) if grouped.isomorphic(graphs[j], graphs[i])) for i in range(len(graphs))]
+        return pd.DataFrame({"o_custkey": pdf["o_custkey"], "same_as": [pdf["o_custkey"].iloc[j] for j in least]})
+
+    return o.groupBy(F.sha2(F.array_join("kinds", ",").cast("binary"), 256)).applyInPandas(one, "o_custkey long, same_as long")
