@@ -173,11 +173,9 @@ def _tag(model: Model | None, penalty: float, bound: float):
                     names[has] = np.array(model.languages, object)[best[has]]
                     share[has] = (letters[at, best] / np.maximum(letters.sum(1), 1))[has]
                     cut = language_spans(label, row)
-                    cut = cut[has[row[cut]]]
                     close = np.r_[cut[1:], len(row)] - 1 if len(cut) else cut
-                    if len(cut):  # a span ends with the last word before the next one of the same row
-                        ends = language_spans(label, row)
-                        close = (np.r_[ends[1:], len(row)] - 1)[np.isin(ends, cut)]
+                    known = has[row[cut]]
+                    cut, close = cut[known], close[known]
                     base = chars[offsets[row[cut]]]
                     begin, finish = chars[start[cut]] - base, chars[end[close]] - base
                     spoken = [model.languages[x] for x in label[cut]]
