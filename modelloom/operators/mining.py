@@ -28,9 +28,11 @@ def tf_idf(bags: DataFrame) -> DataFrame:
 
 def distances(vectors: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """a, b, distance of every pair a < b. vectors: id, vec. The result is as large as the pairs: for the sets that are clustered."""
-    a = vectors.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    b = (others or vectors).select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", V.cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
+    size = F.sqrt(V.dot(F.col("vec"), F.col("vec")))  # once for each vector, not for each pair
+    a = vectors.select(F.col("id").alias("a"), F.col("vec").alias("va"), size.alias("na"))
+    b = (others or vectors).select(F.col("id").alias("b"), F.col("vec").alias("vb"), size.alias("nb"))
+    cosine = F.when(F.col("na") * F.col("nb") == 0, 0.0).otherwise(V.dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - cosine)).alias("distance"))
 
 
 def sparse_distances(weights: DataFrame) -> DataFrame:
