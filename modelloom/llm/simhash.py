@@ -220,6 +220,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs, **options)
     keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("n"))
     keep = saved(keep, "keep")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi")
+    # What stays grows with the documents: the join is the same one at every size, never a broadcast.
+    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi")
     # Rows that repeat a doc_id are rare: only they need a look at each other.
     return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
