@@ -46,8 +46,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows
     for n in sorted(sizes):
         own = windows.filter(F.col("len") == n).select("window", "items", F.split("window", " ").alias("words"))
         own = own.withColumn("zero", F.lit(0)).select(_hashed("zero", n).alias("h"), "window", "items")
-        at = base.filter(F.size("words") >= n).select("doc_id", "key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at"))
-        at = at.withColumn("h", _hashed("at", n))
+        # A filter on the words, or the one that explode() implies, would cut every text into words once more.
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+        at = base.select("doc_id", "key", "words", F.explode_outer(starts).alias("at")).filter("at IS NOT NULL").withColumn("h", _hashed("at", n))
         found = F.array_join(F.slice("words", F.col("at") + 1, F.lit(n)), " ")
         if small:
             met = at.join(F.broadcast(own), "h").filter(found == F.col("window"))
