@@ -34,7 +34,7 @@ def encode(ids: np.ndarray, doc_ids: list, ends: np.ndarray, bits: int) -> bytes
         before = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
         sections += [packed.tobytes(), before.tobytes()]
         zeros.append(int(len(a) - before[-1]))
-        a = np.concatenate([a[~one], a[one]])
+        a = np.concatenate([np.compress(~one, a), np.compress(one, a)])
     sections = [_pack(s) for s in sections]
     header = _pack(json.dumps({"tokens": len(a), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "sections": [len(s) for s in sections]}).encode())
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(sections)
@@ -136,6 +136,6 @@ class WaveletMatrix:
             one = np.unpackbits(self._plane(level)[0], bitorder="little", count=self.tokens).view(bool)
             a[self.zeros[level] :] |= a.dtype.type(1 << (self.bits - 1 - level))
             up = np.empty_like(a)
-            up[~one], up[one] = a[: self.zeros[level]], a[self.zeros[level] :]
+            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = a
             a = up
         return a
