@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelloom.llm import textarrays as A
@@ -87,14 +87,14 @@ def _majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(size: int, seed: int):
+def _fingerprints(size: int, seed: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, offsets in A.chunks(b["text"]):
                 hashes, count = _shingle_hashes(data, offsets, size, seed)
                 out = _majority(hashes, count)
                 part = b.slice(first, end - first)
-                yield pa.record_batch([part["doc_id"], pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([*(part[c] for c in keep), pa.array(out.view(np.int64))], names=[*keep, "fp"])
 
     return run
 
@@ -102,7 +102,7 @@ def _fingerprints(size: int, seed: int):
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, fp (the fingerprint as a signed 64-bit integer)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, seed), f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, seed, ["doc_id"]), f"doc_id {id_type}, fp long")
 
 
 def ring(segments: int) -> list[int]:
@@ -216,11 +216,29 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dista
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, with the least doc_id of each component. Of rows that repeat that doc_id, one stays."""
-    groups = near_groups(docs, **options)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("n"))
+    """The rows of docs, all columns: of each component the one with the least doc_id (see one_of_each)."""
+    shingle, seed = options.pop("shingle", SHINGLE), options.pop("seed", SEED)
+    prints = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    prints = saved(prints.mapInArrow(_fingerprints(shingle, seed, ["doc_id", "th"]), f"doc_id {id_type}, th long, fp long"), "fingerprints")
+    roots = components(near_links(prints.select("fp").distinct(), **options))
+    return one_of_each(docs, prints.join(roots, prints["fp"] == roots["node"], "left").select("doc_id", "th", F.coalesce("root", "fp").alias("root")))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of the rows of docs, one for each root. groups: doc_id, th (xxhash64 of the text) and root, for each row of docs.
+
+    The least doc_id stays, null after all others; of its texts, that of the least th. Rows that repeat both differ by other
+    columns at most: the least of these stays. So rows that only share a doc_id, or have none, are told apart by their text."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keep = groups.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("rows")).select(F.col("k.doc_id").alias("_doc"), F.col("k.th").alias("_th"), "rows")
     keep = saved(keep, "keep")
+    on = docs["doc_id"].eqNullSafe(keep["_doc"]) & (F.xxhash64(docs["text"]) == keep["_th"])
     # What stays grows with the documents: the join is the same one at every size, never a broadcast.
-    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi")
-    # Rows that repeat a doc_id are rare: only they need a look at each other.
-    return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    out = docs.join(keep.select("_doc", "_th").hint("merge"), on, "left_semi")
+    again = groups.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return out
+    # Rows that repeat doc_id and text are rare: only they need a look at each other.
+    nth = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "text"])
+    return out.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").drop("_nth")
