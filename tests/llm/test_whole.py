@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from modelloom.llm import simhash
+import pytest
+
+from modelloom.llm import near_copies, simhash
 
 
 def test_representatives_of_repeated_and_null_ids(rows):
@@ -14,3 +16,65 @@ def test_representatives_of_repeated_and_null_ids(rows):
     pairs = [(None, a), (None, b), (None, b), (7, c), (7, d), (1, e), (7, e), (None, e), (7, d)]
     got = Counter((r.doc_id, r.text) for r in simhash.representatives(rows(pairs)).collect())
     assert got == Counter([(None, a), (None, b), (7, c), (7, d), (1, e)])
+
+
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def alike(x, y):
+    return x == y or (len(x & y) / len(x | y) >= 0.8 - 1e-9 if x and y else False)
+
+
+@pytest.mark.parametrize("few, block", [(16, 4096), (2, 4)])
+def test_near_copies_against_brute_force(rows, few, block):
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    line = " ".join(draw(40))
+    pairs = [(0, None), (1, ""), (2, "one"), (3, "One"), (4, "a b c d"), (5, "A\tb c  d"), (None, "a b c d e"), (9, "x " * 500), (10, "x " * 700)]
+    copies = []
+    for n, most in ((100, 3), (300, 8), (1000, 14)):
+        for _ in range(12):
+            base = draw(n)
+            first = len(pairs) + 10
+            pairs.append((first, " ".join(base)))
+            for changes in range(1, most, 2):
+                copy = list(base)
+                for at in rng.sample(range(n), changes):
+                    copy[at] = f"z{rng.randrange(10**6)}"
+                copies.append((first, len(pairs) + 10))
+                pairs.append((len(pairs) + 10, " ".join(copy)))
+    pairs += [(1000 + i, line + " " + " ".join(draw(30 + i % 9))) for i in range(30)]
+    base = draw(200)
+    for i in range(40):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(6)):
+            copy[at] = f"z{rng.randrange(10**6)}"
+        pairs.append((2000 + i, " ".join(copy)))
+    sets = [shingles(t) for _, t in pairs]
+    root = list(range(len(pairs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {}
+    for r in near_copies.near_groups(rows(pairs), few=few, block=block).collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    want = {}
+    for i, (d, _) in enumerate(pairs):
+        want.setdefault(find(i), []).append(d)
+    order = lambda x: sorted(sorted(str(d) for d in ids) for ids in x.values())
+    assert order(got) == order(want)
+    # Of the pairs planted at 0.8 or more, all are in one group: recall is 1.
+    at = {d: i for i, (d, _) in enumerate(pairs)}
+    of = {d: r for r, ids in got.items() for d in ids}
+    near = [(a, b) for a, b in copies if alike(sets[at[a]], sets[at[b]])]
+    assert len(near) > 60 and all(of[a] == of[b] for a, b in near)
+    assert near_copies.near_groups(rows([])).count() == 0
