@@ -3,8 +3,9 @@
 Each source's documents, in an order set by a hash, are one stream of words, cut into blocks of
 `block` words. Slot i of the schedule takes the point frac(i / golden ratio), which falls into one
 source's share of the cumulative weights. A slot's rank among its source's slots picks the block:
-a source that is taken more than once starts over after its last block. Slots go on until every
-source has met its target; words past a source's target are not taken, so a source gives its
+a source that is taken more than once starts over after its last block. The sequence goes on somewhat
+beyond what all sources need together; blocks that a source still lacks then (small shares are met
+unevenly) get slots of their own after it, so that every source meets its target. Words past a source's target are not taken, so a source gives its
 target, rounded to a word, and no document more than `most_times` its size.
 
 Weights go to sources in code point order, null last. Targets share `share` times all sizes by
@@ -83,7 +84,7 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = 1 << 14) -> Da
     s = s.withColumn("blocks", blocks).withColumn("need", full * blocks + F.ceil(rem / block))
     upto = F.sum("need").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("upto", upto).withColumn("all", F.sum("need").over(Window.partitionBy()))
-    s = saved(s.select("sid", "total", "words", "blocks", ((F.col("upto") - F.col("need")) / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"), "all"), "shares")
+    s = saved(s.select("sid", "total", "words", "blocks", "need", ((F.col("upto") - F.col("need")) / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"), "all"), "shares")
     n_sources, needed = s.agg(F.count("*"), F.max("all")).first()
     n = int((needed or 0) * SPARE) + 8 * n_sources
     i = F.col("slot")
@@ -94,11 +95,19 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = 1 << 14) -> Da
     if n_sources <= MOST_SOURCES:
         shares = F.broadcast(shares)
     slots = slots.join(shares, "cell").filter("x >= lo AND x < hi").withColumn("chunk", F.floor(i / chunk))
-    counts = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
+    counts = saved(slots.groupBy("sid", "chunk").agg(F.count("*").alias("n")), "counts")
+    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("sid", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("rank", rank).join(counts, ["sid", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # What the sequence leaves a source short of.
+    short = s.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
+    upto = F.sum(F.col("need") - F.col("got")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    short = short.withColumn("upto", upto).withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("need") - 1)))
+    short = short.withColumn("slot", F.lit(n) + F.col("upto") - F.col("need") + F.col("rank"))
+    same = ["slot", "sid", "rank", "total", "words", "blocks"]
+    ranked = ranked.select(*same).unionByName(short.select(*same))
     ranked = ranked.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("k", F.col("rank") % F.col("blocks"))
     left = F.col("words") - F.col("pass") * F.col("total") - F.col("k") * block
     use = F.least(left, F.lit(block), F.col("total") - F.col("k") * block)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from modelloom.llm import near_copies, simhash
+from modelloom.llm import mixing, near_copies, simhash
 
 
 def test_representatives_of_repeated_and_null_ids(rows):
@@ -78,3 +78,14 @@ def test_near_copies_against_brute_force(rows, few, block):
     near = [(a, b) for a, b in copies if alike(sets[at[a]], sets[at[b]])]
     assert len(near) > 60 and all(of[a] == of[b] for a, b in near)
     assert near_copies.near_groups(rows([])).count() == 0
+
+
+def test_small_source_beside_large_ones_gets_its_slots(spark):
+    # At these places the sequence meets a share of one block with no slot at all.
+    made = [(0, 18946 * 64, 18946.0 * 64), (1, 64, 64.0), (2, 1054 * 64, 1054.0 * 64)]
+    got = mixing.schedule(spark.createDataFrame(made, "sid int, total long, target double")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.sid] += r.use
+    assert taken == {sid: int(target) for sid, _, target in made}
+    assert len({r.slot for r in got}) == len(got) and len({(r.sid, r["pass"], r.k) for r in got}) == len(got)
