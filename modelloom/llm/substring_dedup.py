@@ -1,18 +1,24 @@
 """Substring dedup by level-wise doubling.
 
-A word goes if a window of `window` words that covers it starts anywhere else too. Windows of half
-that length come first, and only those that are repeated at that length are extended to twice it.
+A word goes if a window of `window` words that covers it starts anywhere else too. The lengths double
+up to the window (9, 18, 35 for 35), and only what is repeated at one length is extended to the next.
 
-Level 1 looks at the half windows that matter: of the half windows inside each full window, one of
-least hash, its anchor. Equal full windows have equal anchors, so a full window can only be repeated
-if its anchor is, or if its least half window is there twice inside it. Of equals, a hash of the
-place in the document picks, so that anchors are a tenth of all positions in a run of one word too.
-Level 2 extends the anchors that occur twice or more: all full windows that have one of them as
-anchor are compared, by the anchor's 64-bit hash and a 64-bit hash of the window. No longer window
-changes what is covered, so the doubling ends there.
+Level 1, the shortest length: of the runs of that length inside each window, the one of least hash is
+its anchor (the first of equals, so equal windows have equal anchors at equal places). Anchors that
+occur once die, and with them all their windows. What survives is first looked at as a whole: the
+reach of an anchor is all its windows together. Occurrences of one reach are a class. A class with
+two or more members is settled, as all its windows are repeated. A class of one is open if its anchor
+is in other classes too; those go on, with one member of each class beside them.
 
-An anchor that occurs over `hot` times isn't gathered in one task: its windows are counted with
-partial sums and the counts joined back.
+Levels 2 and on: each open anchor's windows are covered by runs of the level's length, and only
+windows whose run occurs in two classes or more go on, until the length is the window's or no
+candidate is left.
+
+Hashes of 64 bits choose anchors, so that a collision costs work only. Whether a reach or a run is
+the same is told by the 128-bit BLAKE2 digest of its words.
+
+A hot anchor is no task of its own: counts are partial sums, one row stands for a class, and the
+joins back to the occurrences are sort-merge joins that Spark splits where they are skewed.
 
 Null text is no words; a text of fewer words than the window keeps all. Rows that repeat doc_id and
 text are documents of their own, so they repeat each other. Other columns are ignored; an empty
@@ -23,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,172 +38,222 @@ from pyspark.sql import functions as F
 from modelloom.llm import textarrays as A
 from modelloom.llm.common import dropped, released, saved
 
-WINDOW, HOT = 35, 10_000
+WINDOW, SHORTEST = 35, 9
+#: Repeated anchors up to here (8 bytes each) are broadcast; beyond, the same join is shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def lengths(window: int, shortest: int = SHORTEST) -> list[int]:
+    """The lengths of the levels, up to the window: each at least half of the next."""
+    out = [window, (window + 1) // 2]
+    while out[-1] > shortest:
+        out.append((out[-1] + 1) // 2)
+    return out[::-1]
+
+
+def _digests(raw: bytes, start: list[int], end: list[int]) -> np.ndarray:
+    """The 128-bit digest of each part of raw, as two columns."""
+    h = hashlib.blake2b
+    return np.frombuffer(b"".join([h(raw[a:b], digest_size=16).digest() for a, b in zip(start, end)]), np.int64).reshape(-1, 2)
+
 
+def _packed(at: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """An anchor's place as one number: its word in the document, the words of its reach before it, its windows."""
+    return at << 16 | back << 8 | n
 
-def _least(h: np.ndarray, base: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of half windows, the anchor of each full window, whether its half window is there twice)."""
-    half = (window + 1) // 2
-    grams = A.run_hashes(h, half)
-    order = A.mixed((np.arange(len(grams)) - base[row[: len(grams)]]).astype(A.U64))
-    return grams, *A.least_of(grams, window - half + 1, order)
 
+def _unpacked(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pack >> 16, pack >> 8 & 255, pack & 255
 
-def _read(window: int):
-    """Anchors (those of a half window that its window has twice, twice), number of words and the hash of all words joined by a space."""
+
+def _read(window: int, shortest: int):
+    """Each row's number of words, the hash of all its words joined by a space, and its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, offsets in A.chunks(b["text"]):
-                start, stop, row = A.word_spans(data, offsets)
-                n = np.bincount(row, minlength=end - first)
+            for first, stop, data, offsets in A.chunks(b["text"]):
+                start, end, row = A.word_spans(data, offsets)
+                n = np.bincount(row, minlength=stop - first)
                 base = np.concatenate([[0], np.cumsum(n)])
-                grams, least, twice = _least(A.word_hashes(data, start, stop), base, row, window)
-                whole = row[: len(least)] == row[window - 1 : window - 1 + len(least)]
-                at = np.sort(np.concatenate([np.unique(least[whole]), np.unique(least[whole & twice])]))
+                grams = A.run_hashes(A.word_hashes(data, start, end), shortest)
+                at = A.least_of(grams, window - shortest + 1)
+                w = np.flatnonzero(row[: len(at)] == row[window - 1 : window - 1 + len(at)])  # windows inside one row
+                at = at[w]
+                new = np.ones(len(at) + 1, bool)
+                new[1:-1] = at[1:] != at[:-1]
+                edges = np.flatnonzero(new)
+                lo, last, at = w[edges[:-1]], w[edges[1:] - 1], at[edges[:-1]]
                 own = row[at]
-                count = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=end - first))])
-                part = b.slice(first, end - first)
-                sha = [hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in part["text"].cast(pa.large_binary()).to_pylist()]
+                raw, start, end = A.spaced(data, start, end)
+                raw = raw.tobytes()
+                digest = _digests(raw, start[lo].tolist(), end[last + window - 1].tolist())
+                heads, tails = np.append(start, 0)[base[:-1]].tolist(), np.append(0, end)[base[1:]].tolist()
+                sha = [hashlib.sha256(raw[x:y] if k else b"").hexdigest() for x, y, k in zip(heads, tails, n.tolist())]
+                count = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=stop - first))])
+                part = b.slice(first, stop - first)
+                arrays = [_packed(at - base[own], at - lo, last - lo + 1), grams[at].view(np.int64), digest[:, 0], digest[:, 1]]
                 yield pa.record_batch(
-                    [part["doc_id"], part["key"], pa.array(n.astype(np.int64)), A.lists((at - base[own]).astype(np.int32), count), A.lists(grams[at].view(np.int64), count), pa.array(sha, pa.string())],
-                    names=["doc_id", "key", "n_words", "at", "gram", "sha"],
+                    [part["doc_id"], part["key"], pa.array(n.astype(np.int64)), pa.array(sha, pa.string()), *(A.lists(x, count) for x in arrays)],
+                    names=["doc_id", "key", "n_words", "sha", "pack", "gram", "d1", "d2"],
                 )
 
     return run
 
 
-def _windows(window: int, hot: bool):
-    """Of each anchor that is hot, or isn't: the windows that have it, as bits for their places (words before the anchor), and their hashes by place."""
-    slack = window - (window + 1) // 2
+def _extended(window: int, levels: list[int]):
+    """For each open anchor and level: the runs of that length that cover its windows, k for the windows that start k * step words or more before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = b["marks"]
             ends = np.asarray(marks.offsets, np.int64)
-            m_at, m_gram, m_hot = (x.to_numpy(zero_copy_only=False) for x in marks.values.flatten())
-            for first, end, data, offsets in A.chunks(b["text"]):
-                start, stop, row = A.word_spans(data, offsets)
-                base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))])
-                h = A.word_hashes(data, start, stop)
-                full = A.run_hashes(h, window, seed=1).view(np.int64)
-                _, least, _ = _least(h, base, row, window)
-                lo, hi = ends[first], ends[end]
-                pick = np.flatnonzero(m_hot[lo:hi].astype(bool) == hot)
-                own = np.repeat(np.arange(end - first), np.diff(ends[first : end + 1]))[pick]
-                rel, gram = m_at[lo:hi][pick], m_gram[lo:hi][pick]
-                at = rel + base[own]
-                # windows at at - slack .. at, inside the row, whose anchor is at `at`
-                p = at[:, None] - np.arange(slack + 1)
-                fits = (p >= base[own][:, None]) & (p + window <= base[own + 1][:, None])
-                safe = np.where(fits, p, 0)
-                fits &= least[safe] == at[:, None] if len(least) else False
-                count = np.concatenate([[0], np.cumsum(fits.sum(1))])
-                bits = (fits.astype(np.int64) << np.arange(slack + 1)).sum(1)
-                rid = b["rid"].to_numpy()[first:end][own]
-                yield pa.record_batch(
-                    [pa.array(rid), pa.array(rel), pa.array(gram), pa.array(bits), A.lists(full[safe[fits]] if len(full) else np.zeros(0, np.int64), count)],
-                    names=["rid", "at", "gram", "bits", "hash"],
-                )
+            pack, gram, kind = (x.to_numpy(zero_copy_only=False) for x in marks.values.flatten())
+            for first, stop, data, offsets in A.chunks(b["text"]):
+                lo = ends[first]
+                pick = lo + np.flatnonzero(kind[lo : ends[stop]] > 0)
+                if not len(pick):
+                    continue
+                start, end, row = A.word_spans(data, offsets)
+                base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=stop - first))])
+                raw, start, end = A.spaced(data, start, end)
+                raw = raw.tobytes()
+                own = np.searchsorted(ends[first : stop + 1], pick, "right") - 1
+                at, back, n = _unpacked(pack[pick])
+                at = at + base[own]
+                rid = b["rid"].to_numpy()[first:stop][own]
+                for level, length in enumerate(levels):
+                    step = window - length + 1
+                    least, most = (back - n + 1) // step, back // step
+                    many = most - least + 1
+                    i = np.repeat(np.arange(len(pick)), many)
+                    k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + least[i]
+                    head = at[i] - k * step
+                    d = _digests(raw, start[head].tolist(), end[head + length - 1].tolist())
+                    yield pa.record_batch(
+                        [pa.array(np.full(len(i), level, np.int32)), pa.array(rid[i]), pa.array(pack[pick][i]), pa.array(gram[pick][i]), pa.array(kind[pick][i]), pa.array(k.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                        names=["level", "rid", "pack", "gram", "kind", "k", "d1", "d2"],
+                    )
 
     return run
 
 
-def _places(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of each bit that is set, by row and place."""
-    return np.nonzero((bits[:, None] >> np.arange(64)) & 1)
-
-
-def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a gram are in one partition: for each anchor, the places of windows that are there twice."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    table = table.combine_chunks()
-    own, places = _places(table["bits"].to_numpy())
-    values = table["hash"].combine_chunks().flatten().to_numpy()
-    grams = table["gram"].to_numpy()[own]
-    order = np.lexsort((values, grams))
-    same = (values[order][1:] == values[order][:-1]) & (grams[order][1:] == grams[order][:-1])
-    edge = np.zeros(len(order) + 1, bool)
-    edge[1:-1] = same
-    hit = np.zeros(len(order), bool)
-    hit[order] = edge[1:] | edge[:-1]
-    bits = np.zeros(table.num_rows, np.int64)
-    np.bitwise_or.at(bits, own[hit], np.int64(1) << places[hit].astype(np.int64))
-    yield from table.select(["rid", "at"]).append_column("bits", pa.array(bits)).filter(pa.array(bits != 0)).combine_chunks().to_batches()
-
-
 def _kept(window: int):
+    """The words that are left of each text, and their hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, removed, found = [], [], b["found"]
-            mark = np.asarray(found.offsets, np.int64)
-            at, bits = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
-            for i, text in enumerate(b["text"].cast(pa.large_binary()).to_pylist()):
-                words = (text or b"").split()
-                own, set_bits = at[mark[i] : mark[i + 1]].astype(np.int64), bits[mark[i] : mark[i + 1]]
-                which, place = _places(set_bits)
-                p = own[which] - place
-                cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, p, 1)
-                np.add.at(cover, p + window, -1)
+            spans = []
+            for column in (b["marks"], b["found"]):
+                ends = np.asarray(column.offsets, np.int64)
+                spans.append((ends, [x.to_numpy(zero_copy_only=False) for x in column.values.flatten()]))
+            for first, stop, data, offsets in A.chunks(b["text"]):
+                start, end, row = A.word_spans(data, offsets)
+                base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=stop - first))])
+                own = lambda e: np.repeat(np.arange(stop - first), np.diff(e[first : stop + 1]))
+                cover = np.zeros(len(start) + 1, np.int64)
+                ends, (pack, _, kind) = spans[0]
+                part = slice(ends[first], ends[stop])
+                at, back, n = (x[kind[part] == 0] for x in _unpacked(pack[part]))
+                head = at - back + base[own(ends)[kind[part] == 0]]
+                np.add.at(cover, head, 1)
+                np.add.at(cover, head + n - 1 + window, -1)
+                ends, (pack, bits) = spans[1]
+                part = slice(ends[first], ends[stop])
+                i, before = np.nonzero(bits[part][:, None] >> np.arange(63) & 1)
+                head = (_unpacked(pack[part])[0] + base[own(ends)])[i] - before
+                np.add.at(cover, head, 1)
+                np.add.at(cover, head + window, -1)
                 keep = np.cumsum(cover)[:-1] == 0
-                removed.append(int(len(words) - keep.sum()))
-                texts.append(b" ".join(compress(words, keep)))
-            sha = [hashlib.sha256(t).hexdigest() for t in texts]
-            yield pa.record_batch(
-                [b["rid"], pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())],
-                names=["rid", "n_removed", "kept", "sha"],
-            )
+                n = np.diff(np.concatenate([[0], np.cumsum(keep)])[base])
+                raw, start, end = A.spaced(data, start, end)
+                raw = raw[np.repeat(keep, end - start + 1)].tobytes()
+                size = np.concatenate([[0], np.cumsum(np.where(keep, end - start + 1, 0))])[base].tolist()
+                texts = [raw[x : max(x, y - 1)] for x, y in zip(size, size[1:])]
+                sha = [hashlib.sha256(t).hexdigest() for t in texts]
+                yield pa.record_batch(
+                    [b["rid"].slice(first, stop - first), pa.array(np.diff(base) - n), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())],
+                    names=["rid", "n_removed", "kept", "sha"],
+                )
 
     return run
 
 
-def _repeats(docs: DataFrame, window: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all, some, marks): each row's rid, doc_id, n_words and sha; rows with a repeated anchor and their texts; their repeated windows."""
-    if not 2 <= window <= 126:
-        raise ValueError("window: 2 to 126 words")
-    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    every = base.mapInArrow(_read(window), f"doc_id {id_type}, key long, n_words long, at array<int>, gram array<long>, sha string")
+def _anchors(base: DataFrame, window: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, flat). rows: each row of base by number, rid, with n_words and sha. flat: one row for each anchor."""
+    id_type = base.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, key long, n_words long, sha string, pack array<long>, gram array<long>, d1 array<long>, d2 array<long>"
+    every = base.mapInArrow(_read(window, shortest), schema)
     every = saved(every.withColumn("rid", F.monotonically_increasing_id()), "anchors")  # numbered once, in the table
-    flat = every.select("rid", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("rid", "x.at", "x.gram")
-    counts = saved(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > hot).alias("hot")), "counts")
+    flat = every.select("rid", F.explode(F.arrays_zip("pack", "gram", "d1", "d2")).alias("x")).select("rid", "x.*")
+    return every.select("rid", "doc_id", "key", "n_words", "sha"), flat
+
+
+def _marks(flat: DataFrame, most_broadcast: int) -> DataFrame:
+    """rid and the marks of each row that has any: pack, gram, kind (0: all windows are repeated, 1: open, 2: stands for a class beside open ones)."""
+    spark = flat.sparkSession
+    repeated = saved(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     released(spark)
-    again = flat.join(counts, "gram").groupBy("rid").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("marks"))
-    again = saved(again.join(every.select("rid", F.col("doc_id").alias("_doc"), F.col("key").alias("_key")), "rid"), "again")
+    small = repeated.count() <= most_broadcast
+    alive = flat.join(F.broadcast(repeated) if small else repeated.hint("merge"), "gram", "left_semi")
+    classes = alive.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.first("rid").alias("rid"), F.first("pack").alias("pack"))
+    classes = saved(classes, "classes")
     released(spark)
-    # Rows that repeat doc_id and text meet each other's marks, which are the same: one of each stays.
-    text = base.groupBy("doc_id", "key").agg(F.first("text").alias("text")) if _has_repeats(every) else base
-    some = again.join(text, text["doc_id"].eqNullSafe(again["_doc"]) & (text["key"] == again["_key"])).select("rid", "text", "marks")
-    some = saved(some, "some")
-    hottest = not counts.filter("hot").isEmpty()
-    dropped(again, counts)
+    open_ = classes.groupBy("gram").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 AND least = 1").select("gram")
+    open_ = classes.join(open_.hint("merge"), "gram", "left_semi").select("rid", "pack", "gram", F.when(F.col("c") == 1, 1).otherwise(2).alias("kind"))
+    settled = classes.filter("c > 1").select("d1", "d2")
+    settled = alive.join(settled.hint("merge"), ["d1", "d2"], "left_semi").select("rid", "pack", "gram", F.lit(0).alias("kind"))
+    marks = settled.unionByName(open_).groupBy("rid").agg(F.collect_list(F.struct("pack", "gram", "kind")).alias("marks"))
+    marks = saved(marks, "marks")
+    dropped(repeated, classes)
     released(spark)
-    schema = "rid long, at int, gram long, bits long, hash array<long>"
-    marks = some.mapInArrow(_windows(window, False), schema).repartition("gram").mapInArrow(_twice, "rid long, at int, bits long")
-    if hottest:
-        warm = some.mapInArrow(_windows(window, True), schema)
-        places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda r: F.getbit(F.col("bits"), r) == 1)
-        flat = warm.withColumn("place", places).select("rid", "at", "gram", F.explode(F.arrays_zip("place", "hash")).alias("x")).select("rid", "at", "gram", "x.place", "x.hash")
-        often = flat.groupBy("gram", "hash").agg(F.count("*").alias("c")).filter("c > 1")
-        met = flat.join(often, ["gram", "hash"])
-        marks = marks.unionByName(met.select("rid", "at", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place")).alias("bits")))
-    return every, some, marks
-
-
-def _has_repeats(every: DataFrame) -> bool:
-    return not every.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    return marks
+
+
+def _doubled(some: DataFrame, window: int, levels: list[int]) -> DataFrame:
+    """rid, pack, bits: of each open anchor, its repeated windows, bit o for the one that starts o words before it."""
+    schema = "level int, rid long, pack long, gram long, kind int, k int, d1 long, d2 long"
+    runs = saved(some.mapInArrow(_extended(window, levels), schema), "runs")
+    alive = None
+    for level, length in enumerate(levels):
+        step = window - length + 1
+        now = runs.filter(F.col("level") == level)
+        covered = F.call_function("shiftleft", F.lit((1 << step) - 1).cast("long"), F.col("k") * step)
+        if alive is not None:
+            if alive.isEmpty():
+                break
+            now = now.join(alive.hint("merge"), ["rid", "pack"]).filter(F.col("bits").bitwiseAND(covered) != 0).drop("bits")
+        key = ["gram", "k", "d1", "d2"]
+        again = now.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+        now = now.join(again.hint("merge"), key, "left_semi").groupBy("rid", "pack", "kind").agg(F.bit_or(covered).alias("bits"))
+        old, alive = alive, saved(now.filter("kind = 1") if length == window else now, f"level{length}").drop("kind")
+        if old is not None:
+            dropped(old)
+    dropped(runs)
+    return alive
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the text left, null if nothing was removed), kept_sha256."""
-    every, some, marks = _repeats(docs, window, hot)
-    found = marks.groupBy("rid").agg(F.collect_set(F.struct("at", "bits")).alias("found"))
-    cut = some.select("rid", "text").join(found, "rid").select("rid", "text", "found")
-    cut = cut.mapInArrow(_kept(window), "rid long, n_removed long, kept string, sha string").withColumnRenamed("sha", "cut_sha")
-    return every.join(cut, "rid", "left").select(
+    levels = lengths(window, shortest)
+    if window < 2 or window - levels[0] + 1 > 62:
+        raise ValueError("window: at least 2, and at most 61 words beyond the shortest level")
+    spark = docs.sparkSession
+    base = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    rows, flat = _anchors(base, window, levels[0])
+    marks = _marks(flat, most_broadcast)
+    # Rows that repeat doc_id and text meet each other's marks, which are their own row's: one text of each stays.
+    repeats = not rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    text = base.groupBy("doc_id", "key").agg(F.first("text").alias("text")) if repeats else base
+    by = marks.join(rows.select("rid", F.col("doc_id").alias("_doc"), F.col("key").alias("_key")), "rid")
+    some = text.join(by.hint("merge"), text["doc_id"].eqNullSafe(by["_doc"]) & (text["key"] == by["_key"])).select("rid", "text", "marks")
+    some = saved(some, "some")
+    dropped(marks)
+    released(spark)
+    found = _doubled(some, window, levels[1:])
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("pack", "bits")).alias("found"))
+    none = F.array().cast("array<struct<pack:long,bits:long>>")
+    cut = some.join(found, "rid", "left").select("rid", "text", "marks", F.coalesce("found", none).alias("found"))
+    cut = cut.mapInArrow(_kept(window), "rid long, n_removed long, kept string, sha string").withColumnRenamed("sha", "cut_sha").filter("n_removed > 0")
+    return rows.join(cut, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("cut_sha", "sha").alias("kept_sha256")
     )

@@ -8,6 +8,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -87,8 +88,25 @@ def part_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U64))
 
 
+#: Longer words are hashed one by one: sums modulo 2^64 have known collisions from 1024 bytes on.
+_LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return part_hashes(byte_sums(data), start, end)
+    out = part_hashes(byte_sums(data), start, end)
+    for i in np.flatnonzero(end - start > _LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words with one space after each, start and end of each word in them). Words: as word_spans finds them, all of them."""
+    n = end - start
+    stop = np.cumsum(n + 1) - 1
+    out = np.full(int(stop[-1]) + 1 if len(n) else 0, 32, np.uint8)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(stop - n, n) + within] = data[np.repeat(start, n) + within]
+    return out, stop - n, stop
 
 
 def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -101,22 +119,17 @@ def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
 
 
-def least_of(values: np.ndarray, width: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i up to the last full run: where the least of values[i : i + width] is, and whether it is there twice. Of equals, the one of least order."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    at, twice, span = np.arange(len(values)), np.zeros(len(values), bool), 1
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """For each i up to the last full run: where the least of values[i : i + width] is, the first of equals."""
+    at, span = np.arange(len(values)), 1
+    if len(values) < width:
+        return at[:0]
     while span < width:
         step = min(span, width - span)
         a, b = at[: len(at) - step], at[step:]
-        x, y = values[a], values[b]
-        equal = x == y
-        right = (y < x) | (equal & (order[b] < order[a]))
-        twice = np.where(equal, twice[: len(a)] | twice[step:] | (a != b), np.where(right, twice[step:], twice[: len(a)]))
-        at = np.where(right, b, a)
+        at = np.where(values[b] < values[a], b, a)
         span += step
-    return at, twice
+    return at
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -102,25 +102,40 @@ def test_decontamination_of_and_with_nothing(spark, rows):
 
 
 def substring_brute(pairs, window):
-    w = [(t or "").split() for _, t in pairs]
+    w = [(t or "").encode().split() for _, t in pairs]  # of bytes: at ASCII white space only
     count = Counter(tuple(x[i : i + window]) for x in w for i in range(len(x) - window + 1))
     out = []
     for (d, _), x in zip(pairs, w):
         cover = {j for i in range(len(x) - window + 1) if count[tuple(x[i : i + window])] > 1 for j in range(i, i + window)}
-        out.append(str((d, len(x), len(cover), hashlib.sha256(" ".join(v for j, v in enumerate(x) if j not in cover).encode()).hexdigest())))
+        out.append(str((d, len(x), len(cover), hashlib.sha256(b" ".join(v for j, v in enumerate(x) if j not in cover)).hexdigest())))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-@pytest.mark.parametrize("window", [35, 3])
-def test_substring_dedup(rows, window, hot):
+@pytest.mark.parametrize("window, shortest, broadcast", [(35, 9, 10**6), (35, 3, 0), (3, 9, 10**6), (2, 1, 0), (61, 9, 0)])
+def test_substring_dedup(rows, window, shortest, broadcast):
     rng = random.Random(3)
     p = [rng.choice("abcdefgh") for _ in range(300)]
     pairs = [(1, "a " * 36), (2, "b " * 35), (3, " ".join(p)), (4, " ".join([*p[20:90], "zz", *p[100:160]])), (5, None), (6, ""), (7, " ".join(p)), (7, " ".join(p)), (None, "x y\n" * 30), (8, "q " * 200 + " ".join(p[:50])), (9, "one two")]
-    got = substring_dedup.substring_dedup(rows(pairs), window, hot).collect()
+    # A common line in many texts, cut off at both ends, and one very long text that holds the passage twice.
+    line = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    pairs += [(20 + i, " ".join([f"u{i}{j}" for j in range(9)] + line[rng.randrange(20) : 40 + rng.randrange(40)] + [f"v{i}"] * 5)) for i in range(30)]
+    pairs += [(60, " ".join([*line, *(f"n{i}" for i in range(60_000)), "\t", *line])), (61, f"{chr(233)} \u00a0x " * 20)]
+    got = substring_dedup.substring_dedup(rows(pairs), window, shortest, broadcast).collect()
     assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == substring_brute(pairs, window)
 
 
+def test_substring_dedup_compares_words(rows):
+    # Words of equal polynomial hash modulo 2^64, whatever the base: a Thue-Morse string and its complement.
+    a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    b = "".join("ba"[i.bit_count() & 1] for i in range(2048))
+    same = [f"w{i}" for i in range(34)]
+    pairs = [(1, " ".join([*same, a])), (2, " ".join([*same, b]))]
+    assert [r.n_removed for r in substring_dedup.substring_dedup(rows(pairs)).collect()] == [0, 0]
+    # Nor does a clash of the hashes that choose anchors matter.
+    pairs = [(1, " ".join([a, *same])), (2, " ".join([b, *same])), (3, " ".join([a, *same]))]
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(rows(pairs)).collect()) == [(1, 35), (2, 0), (3, 35)]
+
+
 def test_substring_dedup_of_nothing(rows):
     assert substring_dedup.substring_dedup(rows([])).count() == 0
 
