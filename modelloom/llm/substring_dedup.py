@@ -39,8 +39,6 @@ from modelloom.llm import textarrays as A
 from modelloom.llm.common import dropped, released, saved
 
 WINDOW, SHORTEST = 35, 9
-#: Repeated anchors up to here (8 bytes each) are broadcast; beyond, the same join is shuffled.
-MOST_BROADCAST = 2_000_000
 
 
 def lengths(window: int, shortest: int = SHORTEST) -> list[int]:
@@ -101,13 +99,13 @@ def _read(window: int, shortest: int):
 
 
 def _extended(window: int, levels: list[int]):
-    """For each open anchor and level: the runs of that length that cover its windows, k for the windows that start k * step words or more before the anchor."""
+    """A row for each open anchor, with its runs of each level's length: the k-th starts k * step words before the anchor, k from least on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = b["marks"]
             ends = np.asarray(marks.offsets, np.int64)
-            pack, gram, kind = (x.to_numpy(zero_copy_only=False) for x in marks.values.flatten())
+            pack, kind = (x.to_numpy(zero_copy_only=False) for x in marks.values.flatten())
             for first, stop, data, offsets in A.chunks(b["text"]):
                 lo = ends[first]
                 pick = lo + np.flatnonzero(kind[lo : ends[stop]] > 0)
@@ -120,19 +118,17 @@ def _extended(window: int, levels: list[int]):
                 own = np.searchsorted(ends[first : stop + 1], pick, "right") - 1
                 at, back, n = _unpacked(pack[pick])
                 at = at + base[own]
-                rid = b["rid"].to_numpy()[first:stop][own]
-                for level, length in enumerate(levels):
+                columns = [pa.array(b["rid"].to_numpy()[first:stop][own]), pa.array(pack[pick]), pa.array(kind[pick])]
+                for length in levels:
                     step = window - length + 1
-                    least, most = (back - n + 1) // step, back // step
-                    many = most - least + 1
-                    i = np.repeat(np.arange(len(pick)), many)
-                    k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + least[i]
-                    head = at[i] - k * step
+                    least = (back - n + 1) // step
+                    many = back // step - least + 1
+                    count = np.concatenate([[0], np.cumsum(many)])
+                    k = np.arange(count[-1]) - np.repeat(count[:-1] - least, many)
+                    head = np.repeat(at, many) - k * step
                     d = _digests(raw, start[head].tolist(), end[head + length - 1].tolist())
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(i), level, np.int32)), pa.array(rid[i]), pa.array(pack[pick][i]), pa.array(gram[pick][i]), pa.array(kind[pick][i]), pa.array(k.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                        names=["level", "rid", "pack", "gram", "kind", "k", "d1", "d2"],
-                    )
+                    columns += [pa.array(least.astype(np.int32)), A.lists(d[:, 0], count), A.lists(d[:, 1], count)]
+                yield pa.record_batch(columns, names=["rid", "pack", "kind", *(f"{c}_{x}" for x in levels for c in ("least", "d1", "d2"))])
 
     return run
 
@@ -151,7 +147,7 @@ def _kept(window: int):
                 base = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=stop - first))])
                 own = lambda e: np.repeat(np.arange(stop - first), np.diff(e[first : stop + 1]))
                 cover = np.zeros(len(start) + 1, np.int64)
-                ends, (pack, _, kind) = spans[0]
+                ends, (pack, kind) = spans[0]
                 part = slice(ends[first], ends[stop])
                 at, back, n = (x[kind[part] == 0] for x in _unpacked(pack[part]))
                 head = at - back + base[own(ends)[kind[part] == 0]]
@@ -178,69 +174,74 @@ def _kept(window: int):
     return run
 
 
-def _anchors(base: DataFrame, window: int, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, flat). rows: each row of base by number, rid, with n_words and sha. flat: one row for each anchor."""
-    id_type = base.schema["doc_id"].dataType.simpleString()
+def _survivors(base: DataFrame, window: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, alive). rows: each row of base by number, rid, with n_words and sha. alive: the anchors that occur twice or more."""
+    spark, id_type = base.sparkSession, base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, key long, n_words long, sha string, pack array<long>, gram array<long>, d1 array<long>, d2 array<long>"
     every = base.mapInArrow(_read(window, shortest), schema)
     every = saved(every.withColumn("rid", F.monotonically_increasing_id()), "anchors")  # numbered once, in the table
+    rows = saved(every.select("rid", "doc_id", "key", "n_words", "sha"), "rows")
     flat = every.select("rid", F.explode(F.arrays_zip("pack", "gram", "d1", "d2")).alias("x")).select("rid", "x.*")
-    return every.select("rid", "doc_id", "key", "n_words", "sha"), flat
-
-
-def _marks(flat: DataFrame, most_broadcast: int) -> DataFrame:
-    """rid and the marks of each row that has any: pack, gram, kind (0: all windows are repeated, 1: open, 2: stands for a class beside open ones)."""
-    spark = flat.sparkSession
     repeated = saved(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     released(spark)
-    small = repeated.count() <= most_broadcast
-    alive = flat.join(F.broadcast(repeated) if small else repeated.hint("merge"), "gram", "left_semi")
+    alive = saved(flat.join(repeated.hint("merge"), "gram", "left_semi"), "alive")
+    dropped(every, repeated)
+    released(spark)
+    return rows, alive
+
+
+def _marks(alive: DataFrame) -> DataFrame:
+    """rid and the marks of each row that has any: pack, kind (0: all windows are repeated, 1: open, 2: stands for a class beside open ones)."""
     classes = alive.groupBy("gram", "d1", "d2").agg(F.count("*").alias("c"), F.first("rid").alias("rid"), F.first("pack").alias("pack"))
     classes = saved(classes, "classes")
-    released(spark)
+    released(alive.sparkSession)
     open_ = classes.groupBy("gram").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 AND least = 1").select("gram")
-    open_ = classes.join(open_.hint("merge"), "gram", "left_semi").select("rid", "pack", "gram", F.when(F.col("c") == 1, 1).otherwise(2).alias("kind"))
+    open_ = classes.join(open_.hint("merge"), "gram", "left_semi").select("rid", "pack", F.when(F.col("c") == 1, 1).otherwise(2).alias("kind"))
     settled = classes.filter("c > 1").select("d1", "d2")
-    settled = alive.join(settled.hint("merge"), ["d1", "d2"], "left_semi").select("rid", "pack", "gram", F.lit(0).alias("kind"))
-    marks = settled.unionByName(open_).groupBy("rid").agg(F.collect_list(F.struct("pack", "gram", "kind")).alias("marks"))
-    marks = saved(marks, "marks")
-    dropped(repeated, classes)
-    released(spark)
+    settled = alive.join(settled.hint("merge"), ["d1", "d2"], "left_semi").select("rid", "pack", F.lit(0).alias("kind"))
+    marks = saved(settled.unionByName(open_).groupBy("rid").agg(F.collect_list(F.struct("pack", "kind")).alias("marks")), "marks")
+    dropped(alive, classes)
+    released(alive.sparkSession)
     return marks
 
 
 def _doubled(some: DataFrame, window: int, levels: list[int]) -> DataFrame:
     """rid, pack, bits: of each open anchor, its repeated windows, bit o for the one that starts o words before it."""
-    schema = "level int, rid long, pack long, gram long, kind int, k int, d1 long, d2 long"
+    schema = "rid long, pack long, kind int, " + ", ".join(f"least_{x} int, d1_{x} array<long>, d2_{x} array<long>" for x in levels)
     runs = saved(some.mapInArrow(_extended(window, levels), schema), "runs")
-    alive = None
-    for level, length in enumerate(levels):
+    alive, key = None, ["k", "d1", "d2"]
+    for length in levels:
         step = window - length + 1
-        now = runs.filter(F.col("level") == level)
-        covered = F.call_function("shiftleft", F.lit((1 << step) - 1).cast("long"), F.col("k") * step)
+        now = runs
         if alive is not None:
             if alive.isEmpty():
                 break
-            now = now.join(alive.hint("merge"), ["rid", "pack"]).filter(F.col("bits").bitwiseAND(covered) != 0).drop("bits")
-        key = ["gram", "k", "d1", "d2"]
-        again = now.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-        now = now.join(again.hint("merge"), key, "left_semi").groupBy("rid", "pack", "kind").agg(F.bit_or(covered).alias("bits"))
-        old, alive = alive, saved(now.filter("kind = 1") if length == window else now, f"level{length}").drop("kind")
-        if old is not None:
-            dropped(old)
+            now = now.join(alive.hint("merge"), ["rid", "pack"])
+        now = now.select("*", F.posexplode(F.arrays_zip(F.col(f"d1_{length}").alias("d1"), F.col(f"d2_{length}").alias("d2"))).alias("nth", "run"))
+        k = F.col("nth") + F.col(f"least_{length}")
+        now = now.withColumn("covered", F.call_function("shiftleft", F.lit((1 << step) - 1).cast("long"), k * step))
+        if alive is not None:
+            now = now.filter(F.col("bits").bitwiseAND(F.col("covered")) != 0)
+        now = now.select("rid", "pack", "kind", "covered", k.alias("k"), "run.d1", "run.d2")
+        again = saved(now.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "again")
+        # Only open anchors need an answer of the last level.
+        now = now.filter("kind = 1") if length == window else now
+        now = now.join(again.hint("merge"), key, "left_semi").groupBy("rid", "pack").agg(F.bit_or("covered").alias("bits"))
+        old, alive = alive, saved(now, f"level{length}")
+        dropped(again, *([] if old is None else [old]))
+        released(some.sparkSession)
     dropped(runs)
     return alive
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the text left, null if nothing was removed), kept_sha256."""
     levels = lengths(window, shortest)
     if window < 2 or window - levels[0] + 1 > 62:
         raise ValueError("window: at least 2, and at most 61 words beyond the shortest level")
-    spark = docs.sparkSession
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows, flat = _anchors(base, window, levels[0])
-    marks = _marks(flat, most_broadcast)
+    rows, alive = _survivors(base, window, levels[0])
+    marks = _marks(alive)
     # Rows that repeat doc_id and text meet each other's marks, which are their own row's: one text of each stays.
     repeats = not rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     text = base.groupBy("doc_id", "key").agg(F.first("text").alias("text")) if repeats else base
@@ -248,11 +249,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORT
     some = text.join(by.hint("merge"), text["doc_id"].eqNullSafe(by["_doc"]) & (text["key"] == by["_key"])).select("rid", "text", "marks")
     some = saved(some, "some")
     dropped(marks)
-    released(spark)
+    released(docs.sparkSession)
     found = _doubled(some, window, levels[1:])
     found = found.groupBy("rid").agg(F.collect_list(F.struct("pack", "bits")).alias("found"))
     none = F.array().cast("array<struct<pack:long,bits:long>>")
-    cut = some.join(found, "rid", "left").select("rid", "text", "marks", F.coalesce("found", none).alias("found"))
+    cut = some.join(found.hint("merge"), "rid", "left").select("rid", "text", "marks", F.coalesce("found", none).alias("found"))
     cut = cut.mapInArrow(_kept(window), "rid long, n_removed long, kept string, sha string").withColumnRenamed("sha", "cut_sha").filter("n_removed > 0")
     return rows.join(cut, "rid", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept", F.coalesce("cut_sha", "sha").alias("kept_sha256")
