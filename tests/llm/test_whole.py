@@ -27,8 +27,8 @@ def alike(x, y):
     return x == y or (len(x & y) / len(x | y) >= 0.8 - 1e-9 if x and y else False)
 
 
-@pytest.mark.parametrize("few, block", [(16, 4096), (2, 4)])
-def test_near_copies_against_brute_force(rows, few, block):
+@pytest.mark.parametrize("block, broadcast", [(4096, 10**6), (4, 0)])
+def test_near_copies_against_brute_force(rows, block, broadcast):
     rng = random.Random(5)
     draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     line = " ".join(draw(40))
@@ -65,7 +65,7 @@ def test_near_copies_against_brute_force(rows, few, block):
             if alike(sets[i], sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     got = {}
-    for r in near_copies.near_groups(rows(pairs), few=few, block=block).collect():
+    for r in near_copies.near_groups(rows(pairs), block=block, most_broadcast=broadcast).collect():
         got.setdefault(r.root, []).append(r.doc_id)
     want = {}
     for i, (d, _) in enumerate(pairs):
