@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Closed-class words and modelling boilerplate that carry no concept.
-FUNCTION_WORDS = """a an the this that these those of in on at to for from by with without within and or not nor but so as
-is are be been being am was were has have had do does did will would shall should can could may might must if then else when
-while where which who whom whose what how than into over under between among per each every all any some no none both either
-neither such same other another its it their our your his her my we you they he she them us him me i here there about above
-below up down out off only also more most less least very much many few several whether due via given using used use uses""".split()
-DOMAIN_WORDS = """constraint constraints variable variables parameter parameters model models problem problems formulation
-formulations objective set sets index indices value values number numbers term terms equation equations expression decision
-define defines defined definition denote denotes let given total""".split()
+FUNCTION_WORDS = [
+    "a", "an", "the", "this", "that", "these", "those", "of", "in", "on", "at", "to", "for", "from", "by", "with", "without", "within",
+    "and", "or", "not", "nor", "but", "so", "as", "is", "are", "be", "been", "being", "am", "was", "were", "has", "have", "had", "do",
+    "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "if", "then", "else", "when", "while",
+    "where", "which", "who", "whom", "whose", "what", "how", "than", "into", "over", "under", "between", "among", "per", "each", "every",
+    "all", "any", "some", "no", "none", "both", "either", "neither", "such", "same", "other", "another", "its", "it", "their", "our",
+    "your", "his", "her", "my", "we", "you", "they", "he", "she", "them", "us", "him", "me", "i", "here", "there", "about", "above",
+    "below", "up", "down", "out", "off", "only", "also", "more", "most", "less", "least", "very", "much", "many", "few", "several",
+    "whether", "due", "via", "given", "using", "used", "use", "uses",
+]
+DOMAIN_WORDS = [
+    "constraint", "constraints", "variable", "variables", "parameter", "parameters", "model", "models", "problem", "problems",
+    "formulation", "formulations", "objective", "set", "sets", "index", "indices", "value", "values", "number", "numbers", "term", "terms",
+    "equation", "equations", "expression", "decision", "define", "defines", "defined", "definition", "denote", "denotes", "let", "given",
+    "total",
+]
 STOP_WORDS = sorted({*FUNCTION_WORDS, *DOMAIN_WORDS})
 
 # Irregular forms.
@@ -25,23 +33,23 @@ IRREGULAR = {
 
 # Concepts and the phrases that stand for them; of a phrase under two concepts, the first holds.
 FAMILIES = {
-    "headway": "headway, spacing, separation time, time separation",
-    "rolling_stock": "rolling stock, rollingstock, trainset, train set, fleet",
-    "precedence": "precedence, ordering, order, sequencing, overtaking, overtake",
-    "capacity": "capacity, throughput, track capacity, block capacity",
-    "timing": "timing, schedule, timetable, departure, arrival, dwell",
-    "delay": "delay, lateness, tardiness, deviation",
-    "routing": "routing, route, path, itinerary, rerouting",
-    "assignment": "assignment, allocation, matching, covering",
-    "flow": "flow, flow conservation, flow balance, conservation",
-    "demand": "demand, passenger demand, load, requirement",
-    "cost": "cost, weight, penalty, price, expense",
-    "robust": "robust, robustness, recoverable, uncertainty",
-    "periodic": "periodic, cyclic, pesp, period",
-    "platform": "platform, track, siding",
-    "block": "block, block section, section, moving block",
-    "conflict": "conflict, incompatible, incompatibility, clash",
-    "rescheduling": "rescheduling, reschedule, dispatching, dispatch, disruption",
+    "headway": ["headway", "spacing", "separation time", "time separation"],
+    "rolling_stock": ["rolling stock", "rollingstock", "trainset", "train set", "fleet"],
+    "precedence": ["precedence", "ordering", "order", "sequencing", "overtaking", "overtake"],
+    "capacity": ["capacity", "throughput", "track capacity", "block capacity"],
+    "timing": ["timing", "schedule", "timetable", "departure", "arrival", "dwell"],
+    "delay": ["delay", "lateness", "tardiness", "deviation"],
+    "routing": ["routing", "route", "path", "itinerary", "rerouting"],
+    "assignment": ["assignment", "allocation", "matching", "covering"],
+    "flow": ["flow", "flow conservation", "flow balance", "conservation"],
+    "demand": ["demand", "passenger demand", "load", "requirement"],
+    "cost": ["cost", "weight", "penalty", "price", "expense"],
+    "robust": ["robust", "robustness", "recoverable", "uncertainty"],
+    "periodic": ["periodic", "cyclic", "pesp", "period"],
+    "platform": ["platform", "track", "siding"],
+    "block": ["block", "block section", "section", "moving block"],
+    "conflict": ["conflict", "incompatible", "incompatibility", "clash"],
+    "rescheduling": ["rescheduling", "reschedule", "dispatching", "dispatch", "disruption"],
 }
 
 # Keyword patterns of constraint types.
@@ -116,7 +124,7 @@ def phrase_index() -> dict[str, str]:
     """Lemmatized phrase to concept."""
     out: dict[str, str] = {}
     for concept, phrases in FAMILIES.items():
-        for phrase in phrases.split(", "):
+        for phrase in phrases:
             out.setdefault(" ".join(map(lemma, phrase.split())), concept)
     return out
 
@@ -180,8 +188,12 @@ def binding_offset(expr: Column) -> Column:
     return F.coalesce(F.when(found != "", found.cast("int")), F.lit(0))
 
 
+# Fixed value: a fenced block of a text, its tag and its body.
+FENCE = r"(?s)```[ \t]*([A-Za-z0-9_+-]*)[ \t]*\r?\n(.*?)\r?\n?```"
+
+
 def fence_blocks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)```[ \t]*[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)\r?\n?```"), 1)
+    return F.regexp_extract_all(text, F.lit(FENCE), 2)
 
 
 def dangling_tail(text: Column) -> Column:
