@@ -6,23 +6,28 @@ returns each as one compressed file (wavelet.py). The files are the `file` colum
 in the shared folder, a row for each, so any store that Spark writes to can hold them and a task that
 is run again leaves no trace of its first run. export() copies them out as plain files.
 
-The vocabulary splits a text before a space between two characters that are not white space, around
-a single line end between such characters, and between letters and marks, in whichever context. So
-runs between such places are encoded once and their ids kept, about `most_kept` runs in a worker.
+A byte-level vocabulary splits a text before a space between two characters that are not white
+space, around a single line end between such characters, and between letters and marks, in whichever
+context. So runs between such places are encoded once and their ids kept: at most about `most_kept`
+runs in a worker, none longer than LONGEST characters, and in each lot of texts only those that are
+new to the worker are encoded. Other vocabularies are refused.
 
 Null text is the empty text: the end id alone. Null doc_ids come first; rows of one doc_id are
-ordered by text. An empty table gives no file. Other columns are ignored.
+ordered by text. An empty table gives no file. Other columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +35,13 @@ from pyspark.sql import functions as F
 from modelloom.llm.common import saved
 from modelloom.llm.wavelet import WaveletMatrix, encode
 
-END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 1_200_000
+END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 600_000
+#: Bytes of text that are cut into runs at once; no run of over LONGEST characters is kept.
+AT_ONCE, LONGEST = 4 << 20, 64
 #: Letters, then marks: encoded apart, whatever is around them.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
+#: Runs with a space after each: letters and marks, or anything else.
+_CUT = re.compile(rf"{_WORD.pattern}(?: |\Z)|([^ ]+)(?: |\Z)")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[tuple, "Encoder"] = {}
 
@@ -43,94 +52,171 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def checked(model: str) -> str:
+    """The vocabulary's JSON. Refuses one that could tell by more than its neighbours where a run ends: it must be byte-level BPE and nothing else."""
+    v = json.loads(model)
+    cut = v.get("pre_tokenizer") or {}
+    plain = not v.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    plain &= v["model"]["type"] == "BPE" and not any(v["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) or _WORD.fullmatch(t["content"]) for t in v["added_tokens"])
+    if not plain:
+        raise ValueError("vocabulary: byte-level BPE with the usual pattern, without normalizer or prefix space")
+    return model
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next of those from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Texts to ids, as bytes of little-endian unsigned 32-bit integers."""
+    """Texts to ids. What a run is encoded to is kept, as a part of one array of ids.
+
+    A run is known by its text, after a mark where it doesn't follow a space: "\\r" for the first of
+    a text, "\\n" for the first of a line. The space or the line end is part of what it is encoded to.
+    """
 
     def __init__(self, model: str, most_kept: int = MOST_KEPT):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.most_kept = Tokenizer.from_str(model), most_kept
+        self.tokenizer, self.most_kept = Tokenizer.from_str(checked(model)), most_kept
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        #: Ids of a run after a space (which is part of them), of one at the start of a line, and of marks.
-        #: Half of what may be kept is of late; what was kept before that is taken over when it is met again.
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.marks: dict[str, bytes] = {"": b""}
-        self.newline = self._plain(["\n"])[0]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Of letters only, with or without a space before. All in one text, a line each."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]) * 4).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
-
-    def _learn(self, spaced: set[str], first: set[str]) -> None:
-        for before, runs, kept, older in ((" ", spaced, self.spaced, self.older[0]), ("", first, self.first, self.older[1])):
-            again = [r for r in runs if r in older]
-            kept.update(zip(again, map(older.__getitem__, again)))
-            runs = runs.difference(again)
-            split = {r: m.groups() for r in runs if (m := _WORD.fullmatch(r))}
-            new = list({a for a, _ in split.values()}.difference(kept))
-            kept.update(zip(new, self._words([before + a for a in new])))
-            marks = list({b for _, b in split.values()}.difference(self.marks))
-            self.marks.update(zip(marks, self._plain(marks)))
-            for r, (a, b) in split.items():
-                if b:
-                    kept[r] = kept[a] + self.marks[b]
-            other = list(runs.difference(split))
-            kept.update(zip(other, self._plain([before + r for r in other])))
+        # The same model without the pattern, for words that the pattern takes whole: a line each, in byte letters.
+        self.letters = _byte_letters()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+        self.newline = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Places in the array of runs, and of words (with the space before them, if any) and marks.
+        self.runs: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.ids, self.used, self.places = np.zeros(1 << 16, np.uint32), 0, 0
+        self.at, self.n, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self._add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._add(self.newline, np.array([len(self.newline)]))
+        self.parts.update({"": 0, "\n": 1})
+
+    def _add(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Adds parts of these sizes to the array; their places."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.places + len(sizes) > len(self.at):
+            self.at, self.n, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.hits))
+        place = np.arange(self.places, self.places + len(sizes))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.at[place], self.n[place], self.hits[place] = self.used + np.cumsum(sizes) - sizes, sizes, 0
+        self.used, self.places = self.used + len(flat), self.places + len(sizes)
+        return place
+
+    def _ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these parts one after another, the size of each part)."""
+        n = self.n[places].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.ids[np.arange(int(n.sum())) + np.repeat(self.at[places] - ends + n, n)], n
+
+    def _plain(self, texts: list[str]) -> np.ndarray:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def _words(self, words: list[str], before: str) -> None:
+        """Words of letters only, with this before them: one piece each to the vocabulary's pattern. Encoded in one go."""
+        new = list({before + w for w in words if w}.difference(self.parts))
+        if new:
+            lines = "\n".join(new).encode().decode("latin-1").translate(self.letters)
+            flat = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            cut = flat == self.newline[0]
+            ends = np.append(np.flatnonzero(cut), len(flat)) - np.arange(len(new))
+            self.parts.update(zip(new, self._add(flat[~cut], np.diff(ends, prepend=0)).tolist()))
+
+    def _learn(self, bodies: list[str], before: str) -> np.ndarray:
+        """Places of word and marks for each body without a space, as pairs."""
+        cut = _CUT.findall(" ".join(bodies))
+        words, marks, other = zip(*cut)
+        self._words(words, before)
+        fresh = list(set(marks).difference(self.parts))
+        self.parts.update(zip(fresh, self._plain(fresh).tolist()))
+        place = self.parts.__getitem__
+        first = np.fromiter(map(place, [before + w if w else "" for w in words]), np.int64, len(words))
+        odd = [i for i, x in enumerate(other) if x]
+        first[odd] = self._plain([before + other[i] for i in odd])
+        return np.stack([first, np.fromiter(map(place, marks), np.int64, len(marks))], 1)
+
+    def _keep(self, runs: list[str]) -> np.ndarray:
+        """Encodes runs that aren't kept yet; their places."""
+        long = [len(r) > LONGEST or " " in r for r in runs]
+        kinds: dict[str, list[int]] = {"\r": [], "\n": [], " ": [], "": []}
+        for i, (r, x) in enumerate(zip(runs, long)):
+            kinds["" if x or r == "\r" else r[0] if r[0] in "\r\n" else " "].append(i)
+        parts = np.zeros((len(runs), 3), np.int64)
+        if kinds[" "]:
+            parts[kinds[" "], 1:] = self._learn([runs[i] for i in kinds[" "]], " ")
+        for mark in "\r\n":
+            if kinds[mark]:
+                parts[kinds[mark], 1:] = self._learn([runs[i][1:] for i in kinds[mark]], "")
+        parts[kinds[""], 1] = self._plain([runs[i][1:] if runs[i][0] in "\r\n" else " " + runs[i] for i in kinds[""]])
+        parts[[i for i, r in enumerate(runs) if r[0] == "\n"], 0] = 1
+        flat, n = self._ids(parts.ravel())
+        place = self._add(flat, n.reshape(-1, 3).sum(1))
+        self.runs.update((r, p) for r, p, x in zip(runs, place.tolist(), long) if not x)
+        return place
+
+    def _trim(self) -> None:
+        """Of too many runs, those go that were met in one lot of texts only; if most were met again, all go. Words and marks go too."""
+        if self.places <= 2 * self.most_kept:
+            return
+        keep = [(run, at) for run, at in self.runs.items() if self.hits[at] > 1]
+        flat, n = self._ids(np.array([at for _, at in keep], np.int64))
+        self._clear()
+        if len(keep) <= self.most_kept:
+            self.runs.update(zip([run for run, _ in keep], self._add(flat, n).tolist()))
 
     @staticmethod
-    def _runs(t: str) -> tuple[list[str], list[int]]:
-        """Runs, and where lines begin; a text with white space other than single spaces and line ends between words is one line."""
-        flat = t.replace("\n", " ")
-        runs = flat.split(" ")
-        if "" in runs or not flat.isprintable():
-            return _SAFE.split(t), [0]
-        if flat is t or len(flat) == len(runs[0]):
-            return runs, [0]
-        begins, at = [0], 0
-        for line in t.split("\n")[:-1]:
-            at += line.count(" ") + 1
-            begins.append(at)
-        return runs, begins
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 64):
-            cut = [self._runs(t) for t in texts[at : at + 64]]
-            if len(self.spaced) + len(self.first) > self.most_kept // 2:
-                self.older, self.spaced, self.first = (self.spaced, self.first), {}, {}
-            if len(self.marks) > self.most_kept // 8:
-                self.marks = {"": b""}
-            spaced, first, found = set(), set(), []
-            of, of_first = self.spaced.get, self.first.get
-            for runs, begins in cut:
-                parts = list(map(of, runs))
-                for a in begins:
-                    parts[a] = of_first(runs[a])
-                missing = [i for i, x in enumerate(parts) if x is None] if None in parts else []
-                begin = set(begins)
-                for i in missing:
-                    (first if i in begin else spaced).add(runs[i])
-                found.append((parts, missing))
-            if spaced or first:
-                self._learn(spaced, first)
-            for (runs, begins), (parts, missing) in zip(cut, found):
-                begin = set(begins)
-                for i in missing:
-                    parts[i] = (of_first if i in begin else of)(runs[i])
-                for a in begins[1:]:
-                    parts[a] = self.newline + parts[a]
-                out.append(b"".join(parts))
-        return out
+    def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct runs, the run at each place, each text's first place, each text's number of places). Words with single
+        spaces or line ends between them are cut by Arrow."""
+        easy, hard, order, rest = [], [], [], []
+        for i, t in enumerate(texts):
+            flat = t.replace("\n", " ")
+            if "  " in flat or not flat.isprintable() or flat[:1] == " " or flat[-1:] == " ":
+                parts = _SAFE.split(t)
+                hard.append(["\r" + parts[0], *parts[1:]])
+                rest.append(i)
+            else:
+                easy.append("\r" + t.replace("\n", " \n"))
+                order.append(i)
+        lists = pc.split_pattern(pa.array(easy, pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        names, at = [], coded.indices.to_numpy()
+        if easy:
+            d = coded.dictionary
+            names = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(d)], pa.int64()), d), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        ends = np.asarray(lists.offsets, np.int64)
+        if hard:
+            where = {x: i for i, x in enumerate(names)}
+            more = [where.setdefault(x, len(where)) for x in chain.from_iterable(hard)]
+            names = list(where)
+            at = np.concatenate([at, more])
+            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in hard])])
+        first, count = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        first[order + rest], count[order + rest] = ends[:-1], np.diff(ends)
+        return names, at, first, count
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, the end of each text's in them)."""
+        names, at, first, count = self._cut(texts)
+        place = np.fromiter(map(self.runs.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._keep([names[i] for i in new.tolist()])
+        self.hits[place] += 1
+        ends = np.cumsum(count)
+        out, n = self._ids(place[at[np.arange(int(count.sum())) + np.repeat(first - ends + count, count)]])
+        self._trim()
+        return out, np.concatenate([[0], np.cumsum(n)])[ends]
 
 
 def _encoder(model: str, most_kept: int) -> Encoder:
@@ -140,25 +226,35 @@ def _encoder(model: str, most_kept: int) -> Encoder:
     return _encoders[key]
 
 
+def _lots(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about AT_ONCE bytes of text; a longer text is a lot of its own."""
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b["text"].cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))])
+    first = 0
+    while first < b.num_rows:
+        stop = max(first + 1, int(np.searchsorted(before, before[first] + AT_ONCE, "right")) - 1)
+        yield b.slice(first, stop - first)
+        first = stop
+
+
 def _write(model: str, end_id: int, shard_tokens: int, most_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(model, most_kept), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         ids, sizes, parts, held, shard, before = [], [], [], 0, 0, 0
 
         def flush():
-            data = np.frombuffer(b"".join(parts), "<u4")
+            data = np.concatenate(parts)
             out = encode(data, ids, np.cumsum(sizes), encoder.bits)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before]), pa.array([len(data)]), pa.array([len(ids)]), pa.array([out], pa.binary())], names=["part", "shard", "before", "tokens", "docs", "file"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                own = b.slice(at, 256)
+            for own in _lots(b):
                 texts = [t or "" for t in own["text"].to_pylist()]
-                for doc_id, data in zip(own["doc_id"].to_pylist(), encoder.encode(texts)):
+                data, ends = encoder.encode(texts)
+                for doc_id, x, y in zip(own["doc_id"].to_pylist(), [0, *ends.tolist()], ends.tolist()):
                     ids.append(doc_id)
-                    parts += [data, end]
-                    sizes.append(len(data) // 4 + 1)
+                    parts += [data[x:y], end]
+                    sizes.append(y - x + 1)
                     held += sizes[-1]
                     if held >= shard_tokens:
                         yield flush()
@@ -172,7 +268,9 @@ def _write(model: str, end_id: int, shard_tokens: int, most_kept: int):
 def write_shards(docs: DataFrame, vocabulary_file: str | None = None, end_id: int = END, shard_tokens: int = SHARD_TOKENS, most_kept: int = MOST_KEPT, partitions: int | None = None) -> DataFrame:
     """The written table: part, shard (in that part), before (ids of the part before it), tokens, docs, file. Parts are in doc_id order."""
     spark = docs.sparkSession
-    model = Path(vocabulary_file or vocabulary()).read_text(encoding="utf-8")
+    model = checked(Path(vocabulary_file or vocabulary()).read_text(encoding="utf-8"))
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id: an integer")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = "part int, shard int, before long, tokens long, docs long, file binary"
