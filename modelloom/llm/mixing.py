@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from modelloom.llm.common import SPACE, dropped, saved, words
 
 WEIGHTS, SHARE, MOST_TIMES, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 64
-#: Slots beyond what the blocks need, as the schedule meets each share only to within a few slots.
-SPARE = 1.1
 #: Sources up to here are broadcast, some 60 bytes each.
 MOST_SOURCES = 100_000
 GOLDEN = (sqrt(5) - 1) / 2
@@ -73,7 +71,9 @@ def _streams(base: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = 1 << 14) -> DataFrame:
-    """slot, sid, pass, k (block of the source's stream), use (words of it): the slots that take any word.
+    """slot, sid, pass, k (block of the source's stream), use (words of it): exactly the slots that a source's target needs.
+
+    Slots are in order, with gaps; those added for a source lie halfway between two points of the sequence.
 
     sources: sid, total, target.
     """
@@ -85,8 +85,7 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = 1 << 14) -> Da
     upto = F.sum("need").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("upto", upto).withColumn("all", F.sum("need").over(Window.partitionBy()))
     s = saved(s.select("sid", "total", "words", "blocks", "need", ((F.col("upto") - F.col("need")) / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"), "all"), "shares")
-    n_sources, needed = s.agg(F.count("*"), F.max("all")).first()
-    n = int((needed or 0) * SPARE) + 8 * n_sources
+    n_sources, n, scale = s.agg(F.count("*"), F.coalesce(F.max("all"), F.lit(0)).cast("long"), 2 * (F.coalesce(F.max("sid"), F.lit(0)) + 1)).first()
     i = F.col("slot")
     x = F.pmod((i % _LOW) * F.lit(GOLDEN) + F.floor(i / _LOW) * F.lit(_step()), F.lit(1.0))
     cells = 4096
@@ -101,29 +100,37 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = 1 << 14) -> Da
     counts = counts.select("sid", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("rank", rank).join(counts, ["sid", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # What the sequence leaves a source short of.
-    short = s.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
-    upto = F.sum(F.col("need") - F.col("got")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    short = short.withColumn("upto", upto).withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("need") - 1)))
-    short = short.withColumn("slot", F.lit(n) + F.col("upto") - F.col("need") + F.col("rank"))
+    # Ranks beyond a source's need aren't used; what it is short of is added. The m-th of several missing ones goes to m / several of the way.
     same = ["slot", "sid", "rank", "total", "words", "blocks"]
+    ranked = ranked.filter("rank < need").withColumn("slot", scale * F.col("slot"))
+    short = s.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
+    short = short.withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("need") - 1)))
+    way = F.floor((2 * (F.col("rank") - F.col("got")) + 1) * n / (2 * (F.col("need") - F.col("got"))))
+    short = short.withColumn("slot", scale * way + scale // 2 + F.col("sid"))
     ranked = ranked.select(*same).unionByName(short.select(*same))
+    # A source's blocks go by the order of its slots.
+    chunked = ranked.withColumn("chunk", F.floor(F.col("slot") / (scale * chunk)))
+    counts = saved(chunked.groupBy("sid", "chunk").agg(F.count("*").alias("n")), "slots")
+    counts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot", "rank")) - 1
+    ranked = chunked.withColumn("within", within).join(counts, ["sid", "chunk"]).withColumn("rank", F.col("within") + F.col("before"))
     ranked = ranked.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("k", F.col("rank") % F.col("blocks"))
     left = F.col("words") - F.col("pass") * F.col("total") - F.col("k") * block
     use = F.least(left, F.lit(block), F.col("total") - F.col("k") * block)
     return ranked.withColumn("use", use).filter("use > 0").select("slot", "sid", "pass", "k", "use")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: one for each row of docs, with doc_id, size, source_size, target and its place (sid, bucket, row).
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: float = MOST_TIMES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, pieces, sources). rows: one for each row of docs, with doc_id, size, source_size, target and its place (sid, bucket, row).
     pieces: the mix, one row for each slot and document: slot, pass, place, first (word of the document, from 0), words."""
     base = docs.select("doc_id", "source", F.size(words(F.col("text"), SPACE)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("o"))
     base = saved(base, "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("total"))
     sources = saved(targets(sizes, weights, share, most_times), "sources")
     few = sources.count() <= MOST_SOURCES
-    by = sources.withColumnRenamed("source", "_source").select("_source", "sid", "total", "target")
-    rows = base.join(F.broadcast(by) if few else by, base.source.eqNullSafe(by["_source"])).drop("_source", "source")
+    by = sources.select("source", "sid", "total", "target")
+    own = by.withColumnRenamed("source", "_source")
+    rows = base.join(F.broadcast(own) if few else own, base.source.eqNullSafe(own["_source"])).drop("_source", "source")
     rows = saved(_streams(rows), "streams")
     dropped(base)
     slots = schedule(sources, block)
@@ -133,12 +140,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: fl
     lo = F.greatest(F.col("start"), F.col("k") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("k") * block + F.col("use"))
     pieces = parts.join(slots, ["sid", "k"]).select("slot", "pass", "sid", "bucket", "row", "doc_id", (lo - F.col("start")).alias("first"), (hi - lo).alias("words")).filter("words > 0")
-    return rows, pieces
+    return rows, pieces, F.broadcast(by) if few else by
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target (its source's), taken (words that the mix takes of it)."""
-    rows, pieces = mixed(docs, **options)
+    rows, pieces, _ = mixed(docs, **options)
     taken = pieces.groupBy("sid", "bucket", "row").agg(F.sum("words").alias("taken"))
     return rows.join(taken, ["sid", "bucket", "row"], "left").select("doc_id", "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -146,23 +153,28 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, all columns of docs: a row for each document and pass that takes any word of it.
 
-    A document that is taken whole keeps its text; of another, the words taken, joined by a space.
+    A document that is taken whole keeps its text; of another, the words taken, joined by a space. Rows that repeat source,
+    doc_id and text differ by their other columns at most: by these, as JSON, they get the places that the mix gave them.
     """
-    rows, pieces = mixed(docs, **options)
-    spans = pieces.groupBy("sid", "bucket", "row", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("n"))
-    spans = spans.join(rows.select("sid", "bucket", "row", "doc_id", "o", "size"), ["sid", "bucket", "row"])
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("o").alias("_o"), F.col("first").alias("_first"), F.col("n").alias("_n"), F.col("size").alias("_size"), F.col("pass").alias("_pass"), F.col("sid").alias("_sid"), F.col("row").alias("_row"))
-    base = docs.withColumn("_o2", F.xxhash64("doc_id", "text"))
-    on = base["doc_id"].eqNullSafe(spans["_doc"]) & (base["_o2"] == spans["_o"])
-    if not rows.groupBy("doc_id", "o").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
-        # Rows that repeat doc_id and text differ here by their place only: each gets one.
-        spans = spans.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_o", "_pass").orderBy("_sid", "_row")))
-        base = base.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id", "_o2").orderBy("source")))
-        on = base["doc_id"].eqNullSafe(spans["_doc"]) & (base["_o2"] == spans["_o"]) & (base["_nth2"] == spans["_nth"])
-    met = base.join(spans, on)
-    part = F.array_join(F.slice(words(F.col("text"), SPACE), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int")), " ")
-    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(part)
-    met = met.withColumn("text", text)
+    rows, pieces, sources = mixed(docs, **options)
+    place, same = ["sid", "bucket", "row"], ["sid", "doc_id", "o"]
+    rows = rows.select(*place, "doc_id", "o", "size")
+    # docs in one column, so that no name of it can be one of ours.
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    base = base.join(sources.select("sid", F.col("source").alias("_source")), F.col("doc.source").eqNullSafe(F.col("_source"))).drop("_source")
+    base = base.select("doc", "sid", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc.doc_id", "doc.text").alias("o"))
+    if rows.groupBy(*same).agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        rows, base = rows.withColumn("nth", F.lit(1)), base.withColumn("nth", F.lit(1))
+    else:
+        rest = [F.col(f"doc.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")]
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("bucket", "row")))
+        base = base.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.to_json(F.struct(F.lit(0).alias("c"), *rest)))))
+    spans = pieces.groupBy(*place, "pass").agg(F.min("first").alias("first"), F.sum("words").alias("n")).join(rows, place)
+    spans = spans.select("sid", "o", "nth", F.col("doc_id").alias("id"), "first", "n", "size")
+    met = base.join(spans, ["sid", "o", "nth"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
+    part = F.array_join(F.slice(words(F.col("doc.text"), SPACE), (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ")
+    met = met.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("doc.text")).otherwise(part))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return met.select(*[own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
