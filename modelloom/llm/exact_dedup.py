@@ -83,6 +83,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_hash: Cal
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the greatest doc_id stays."""
     ids = identities(docs, block_bytes, block_hash)
     groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = saved(groups, "groups")  # a row for each identity, so that the join back is one that Spark splits where a group is hot
     return (
         ids.join(groups, ["level", "name"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
