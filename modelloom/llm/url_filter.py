@@ -2,13 +2,15 @@
 
 A host becomes a canonical key, its labels in reverse with a dot after each: a rule's host is then a
 prefix, and all its subdomains are the interval of keys that start with it. Such intervals nest or
-are apart. Rules and urls are sorted together by key; the sweep carries the stack of the rule host
-that started last. Of that stack, entries whose interval has ended are popped, and of those whose
-path is a prefix of the url's path, the longest rule wins (of equal length, the longer host).
+are apart. Rules and urls are sorted together by key; the sweep carries the rule host that started last,
+which names the stack of active rules: it and the hosts above it. Of that stack, entries whose
+interval has ended are popped, and of those whose path is a prefix of the url's path, the longest
+rule wins (of equal length, the longer host). Stacks stay in a table of their own, a row for each
+rule host; it is broadcast up to `most_bytes`, measured, and joined by a shuffle beyond.
 
 Urls are dealt to buckets by a hash of the whole row, so a host of any size is spread evenly; each
-bucket gets the starts of all rules. Rules are counted: their starts over all buckets stay under
-`most_starts`, by fewer buckets for more rules.
+bucket gets the starts of all rule hosts. There are four buckets for each shuffle partition, or as
+many as keep the starts of all buckets together at `most_starts`, and one at least.
 
 Host: after the first :// up to /, ?, # or the end, A-Z lower-cased. Path: from there up to ?, # or
 the end. Both are empty for a null url or one without ://. No rule: the default verdict. Repeated
@@ -65,16 +67,19 @@ def _stacks(rules: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("stack"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", buckets: int = 1024, most_starts: int = 4_000_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", buckets: int | None = None, most_starts: int = 4_000_000, most_bytes: int = 32 << 20) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule (null: none), verdict."""
-    n_rules = max(1, rules.count())
-    buckets = max(16, min(buckets, most_starts // n_rules))
+    stacks = _stacks(rules)
+    size = F.aggregate("stack", F.lit(0).cast("long"), lambda n, r: n + 96 + F.octet_length(r["key"]) + F.octet_length(r["path"]) + F.octet_length(r["rule"]))
+    n_hosts, n_bytes = stacks.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    buckets = max(1, min(buckets or 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), most_starts // max(1, n_hosts)))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(buckets)).cast("int").alias("bucket"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("kind", F.lit(1))
-    stacks = _stacks(rules)
-    starts = stacks.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("kind", F.lit(0))
+    starts = stacks.select("key", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).alias("kind"), F.col("key").alias("top"))
     sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = urls.unionByName(starts, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    both = urls.unionByName(starts, allowMissingColumns=True).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).filter("kind = 1")
+    by = stacks.select(F.col("key").alias("top"), "stack")
+    both = both.join(F.broadcast(by) if n_bytes <= most_bytes else by.hint("merge"), "top", "left")
     fits = F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"]) & F.startswith(F.col("path"), r["path"]))
     return both.withColumn("best", F.get(fits, 0)).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
