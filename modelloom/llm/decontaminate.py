@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and cut into item words. An item's windows are its runs of `size` words;
 an item of fewer words, but not none, is one window. The scan hashes every window of every document
 and probes the broadcast set; a hit counts once its words are compared. Items are few and documents
-many: the set is broadcast only as long as its measured number of windows is at most `most_windows`;
-beyond that, the same join is shuffled by hash, with the window's words beside it.
+many: the set is broadcast only as long as its measured size, words and item names included, is at
+most `most_bytes`; beyond that, the same join is shuffled by hash, with the window's words beside it.
 
 Null or empty text has no words and no hits. Items of a null id mark words but have no name to list.
 Rows that repeat doc_id and text get the same result each; a doc_id with different texts is told
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from modelloom.llm.common import NOT_ITEM_WORD, ascii_lower, words
 
 WINDOW = 10
-#: About 100 bytes each: some 50 MB at most go to each executor.
-MOST_WINDOWS = 500_000
+#: So many bytes of windows and item names at most go to each executor.
+MOST_BYTES = 48 << 20
 
 
 def _hashed(at: str, size: int):
@@ -36,11 +36,13 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return runs.groupBy("len", F.array_join("window", " ").alias("window")).agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Every occurrence of an item's window: doc_id, key (hash of the text), at (first word, from 0), len, items."""
     windows = item_windows(benchmark, size)
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    small = sum(sizes.values()) <= most_windows
+    names = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x))
+    own_bytes = F.sum(2 * F.octet_length("window") + 64 + names)
+    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(own_bytes.alias("n")).collect()}  # at most `size` rows
+    small = sum(sizes.values()) <= most_bytes
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words(ascii_lower(F.col("text")), NOT_ITEM_WORD).alias("words"))
     out = None
     for n in sorted(sizes):
@@ -75,9 +77,9 @@ def _covered(spans):
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, key, n_words, n_hit, items (sorted), spans (at, len)."""
-    found = hits(docs, benchmark, size, most_windows)
+    found = hits(docs, benchmark, size, most_bytes)
     per = found.groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -91,7 +93,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of docs, all columns, without those in which a window of an item occurs."""
-    bad = hits(docs, benchmark, size, most_windows).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    bad = hits(docs, benchmark, size, most_bytes).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
