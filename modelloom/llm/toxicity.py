@@ -16,6 +16,7 @@ one by one, repeats alike; other columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack(out, 1), row, start, end
 
 
-def unlike(texts: list[tuple[int, str]], draws: int = 4) -> list[tuple[int, str]]:
-    """Those that don't look like a copy of an earlier one: no least hash of their word pairs, of several draws, was seen before.
+def unlike(texts: list[tuple[int, str]], draws: int = 24, alike: float = 0.5) -> list[tuple[int, str]]:
+    """Those that don't look like a copy of an earlier one: of the least hashes of their word pairs, in so many draws, at most
+    this share is one earlier text's too.
 
     Words of a passage that is there in many copies would seem to mark what its copies are labelled."""
-    out, seen = [], set()
+    out, seen = [], {}
     for first, end, data, offsets in A.chunks(pa.array([t for _, t in texts])):
         start, stop, row = A.word_spans(A.LOWER[data], offsets, A.ITEM)
         pairs = A.run_hashes(A.word_hashes(A.LOWER[data], start, stop), 2)
@@ -71,9 +73,12 @@ def unlike(texts: list[tuple[int, str]], draws: int = 4) -> list[tuple[int, str]
             least = {int(r): {(k, int(x)) for k, x in enumerate(xs)} for r, xs in zip(own[at], draw)}
         for r in range(end - first):
             mine = least.get(r, set())
-            if not mine & seen:
+            met = Counter(i for x in mine for i in seen.get(x, ()))
+            if not met or max(met.values()) <= alike * draws:
+                # What is left out is like one that stays, so only these need to be known.
+                for x in mine:
+                    seen.setdefault(x, []).append(len(out))
                 out.append(texts[first + r])
-            seen |= mine
     return out
 
 
