@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words that are made of digits, lower-case ASCII letters and all that is not ASCII.
@@ -34,9 +32,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local one, if all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: not set")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -79,11 +79,3 @@ def named(keys: DataFrame, by: list[str], name: str = "name", buckets: int = 409
     at = F.pmod(F.xxhash64(*by), F.lit(buckets))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
     return keys.withColumn("_bucket", at).withColumn(name, (rank.cast("long") - 1) * buckets + F.col("_bucket")).drop("_bucket")
-
-
-def least(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only these columns, so that others of the same names as an operator's own can't clash."""
-    return df.select(*columns)
-
-
-LONG, STRING, BINARY, DOUBLE = T.LongType(), T.StringType(), T.BinaryType(), T.DoubleType()

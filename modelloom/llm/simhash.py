@@ -12,8 +12,8 @@ its whole length around the ring, and then all 64 bits.
 
 No pairs are emitted within a group: of the fingerprints of a key, only as many links come out as
 join them into the same components. A key with over `block` fingerprints is dealt out as pairs of
-blocks, so no task gathers more than two of them; the links between blocks lose none of the
-components. Components come from the links of all keys.
+blocks, and a task holds a key at a time, so none gathers more than two blocks; the links between
+blocks lose none of the components. Components come from the links of all keys.
 
 Null and empty texts have no words: fingerprint zero, which links like any other. Rows that repeat
 are members of one class. A component is named by its least doc_id (nulls aside; null if it has no
@@ -155,34 +155,25 @@ def _forest(fps: np.ndarray, distance: int, segments: int) -> tuple[list, list]:
 
 def _links(distance: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a key are in one partition."""
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        key, fp = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[first, len(key)])
-        a, b = [], []
-        # Keys of a few fingerprints: all at once, those d apart in the order of their key.
-        size = np.repeat(n, n)
-        for d in range(1, 16):
-            at = np.flatnonzero((size[:-d] <= 16) & (key[d:] == key[:-d])) if len(key) > d else []
-            if not len(at):
-                break
-            at = at[_near(fp[at] ^ fp[at + d], distance, segments)]
-            a.append(fp[at])
-            b.append(fp[at + d])
-        for s, k in zip(first[n > 16], n[n > 16]):
-            x, y = _forest(np.unique(fp[s : s + k]), distance, segments)
-            a.append(np.array(x, np.uint64))
-            b.append(np.array(y, np.uint64))
-        a, b = np.concatenate(a) if a else np.zeros(0, np.uint64), np.concatenate(b) if b else np.zeros(0, np.uint64)
-        if len(a):
-            both = np.unique(np.stack([np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))], 1), axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        """All rows of a key are in one partition, sorted by key."""
+        for table in A.whole_keys(batches):
+            key, fp = table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.diff(np.r_[first, len(key)])
+            # Keys of a few fingerprints: all at once, those d apart in the order of their key.
+            size, both = np.repeat(n, n), []
+            for d in range(1, 16):
+                at = np.flatnonzero((size[:-d] <= 16) & (key[d:] == key[:-d])) if len(key) > d else []
+                if not len(at):
+                    break
+                at = at[_near(fp[at] ^ fp[at + d], distance, segments)]
+                both.append((fp[at], fp[at + d]))
+            for s, k in zip(first[n > 16], n[n > 16]):
+                both.append(tuple(np.array(x, np.uint64) for x in _forest(np.unique(fp[s : s + k]), distance, segments)))
+            a, b = (np.concatenate([x[i] for x in both] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
+            if len(a):
+                links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
 
@@ -194,13 +185,12 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, segments: int = SEG
     keys = keys.select("fp", F.xxhash64("which", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     large = saved(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
     if not large.isEmpty():
-        blocks = F.ceil(F.col("n") / block)
-        own = F.pmod(F.xxhash64(F.col("fp")), F.coalesce(blocks, F.lit(1)))
-        keys = keys.join(large, "key", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("own", own)
-        keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        keys = keys.select("fp", pair.alias("key"))
-    return keys.repartition("key").mapInArrow(_links(distance, segments), "a long, b long")
+        hot = keys.join(large.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        hot = hot.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+        keys = keys.join(large.hint("merge"), "key", "left_anti").select("fp", "key").unionByName(hot)
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, segments), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, segments: int = SEGMENTS, chain: int = CHAIN, block: int = BLOCK) -> DataFrame:

@@ -132,5 +132,21 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole keys, from batches that are sorted by key: no more is held than a batch and a key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b["key"].to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1]["key"][-1].as_py() != key[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))

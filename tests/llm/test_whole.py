@@ -89,3 +89,33 @@ def test_small_source_beside_large_ones_gets_its_slots(spark):
         taken[r.sid] += r.use
     assert taken == {sid: int(target) for sid, _, target in made}
     assert len({r.slot for r in got}) == len(got) and len({(r.sid, r["pass"], r.k) for r in got}) == len(got)
+
+
+def test_every_source_gets_exactly_its_slots(spark):
+    rng = random.Random(9)
+    # Shares of one block to thousands, in one schedule; sizes around whole blocks.
+    made = [(i, n := rng.choice([1, 63, 64, 65, 50, 300, 5000, 90_000]), float(rng.randrange(1, 2 * n + 1))) for i in range(300)]
+    got = mixing.schedule(spark.createDataFrame(made, "sid int, total long, target double")).collect()
+    taken, order = Counter(), {}
+    for r in sorted(got, key=lambda r: r.slot):
+        taken[r.sid] += r.use
+        assert order.get(r.sid, (-1, -1)) < (r["pass"], r.k)
+        order[r.sid] = (r["pass"], r.k)
+    assert taken == {sid: round(target) for sid, _, target in made}
+    assert len({r.slot for r in got}) == len(got)
+
+
+def test_mix_of_a_source_below_its_block(spark):
+    sizes = {"a": 24_023, "b": 50, "c": 24_835}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    assert [r.taken for r in mixing.mix(docs).orderBy("doc_id").collect()] == [48_046, 100, 25_216]
+
+
+def test_mix_of_repeated_rows_keeps_its_sources(spark):
+    text = "w " * 200
+    docs = spark.createDataFrame([(1, text, "s0", 1), (1, text, None, 2), (2, text, "s1", 3), (2, text, "s1", 4)], "doc_id long, text string, source string, other int")
+    taken = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r.source] += len(r.text.split())
+    # Weights 5, 2, 1 for s0, s1, null share 1200 words; no source gives over twice its own.
+    assert taken == {"s0": 400, "s1": 533, None: 267}
