@@ -522,7 +522,7 @@ def presence_flags(spark, sf_dir):
 
 @query()
 def formulation_findings(spark, sf_dir):
-    return views.findings(formulations.catalog(spark))
+    return views.findings(formulations.catalog(spark, faulty=True))
 
 
 @query()
@@ -532,11 +532,13 @@ def formulation_types(spark, sf_dir):
 
 @query()
 def ground_template(spark, sf_dir):
-    """The assignment of suppliers' nations to regions by average balance, as a sparse matrix."""
-    f = formulations.catalog(spark).filter("id = 'assignment'").first()
+    """Suppliers as sites that reach regions by their balance, as a sparse matrix."""
+    f = formulations.catalog(spark).filter("id = 'coverage'").first()
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    cost = s.groupBy(F.col("n_regionkey").cast("long").alias("k0"), (F.col("s_suppkey") % 5).alias("k1")).agg(F.round(F.avg("s_acctbal"), 2).alias("value"))
-    return templates.Grounder(spark, f, {"W": 5, "J": 5}, {"c": cost}).matrix()[1]
+    reach = s.select(F.col("n_regionkey").cast("long").alias("k0"), (F.col("s_suppkey") - 1).cast("long").alias("k1"), F.col("s_acctbal").cast("double").alias("value"))
+    price = s.select((F.col("s_suppkey") - 1).cast("long").alias("k0"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("value"))
+    n = s.count()
+    return templates.Grounder(spark, f, {"D": 5, "S": n}, {"reach": reach, "price": price, "worth": [1, 2, 3, 4, 5], "budget": 9}).matrix()[1]
 
 
 @query()
@@ -553,8 +555,8 @@ def parse_formats(spark, sf_dir):
 
 @query()
 def ground_view(spark, sf_dir):
-    f = formulations.catalog(spark).filter("id = 'spacing'").first()
-    return templates.Grounder(spark, f, {"I": 25}, {"h": 3, "early": [0] * 25}).view()
+    f = formulations.catalog(spark).filter("id = 'lots'").first()
+    return templates.Grounder(spark, f, {"P": 25}, {"need": [3] * 25, "fixed": 5, "most": 100}).view()
 
 
 @query()
