@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +86,12 @@ def split_compounds(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(split_compounds(text), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~F.array_contains(stop, t))
+    return F.filter(split_compounds(text), is_token)
+
+
+def is_token(part: Column) -> Column:
+    """Whether a part is long enough, no number and no stop word: a set that is looked up by hash."""
+    return (F.length(part) >= 2) & ~part.rlike("^[0-9]+$") & ~part.isin(STOP_WORDS)
 
 
 def lemmatize(token: Column) -> Column:
@@ -159,8 +165,17 @@ def concepts(text: Column) -> Column:
 
 
 def type_tags(text: Column) -> Column:
-    """All constraint types whose keywords the text has, in the order of TYPE_PATTERNS."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(t)) for t, p in TYPE_PATTERNS.items()]))
+    """All constraint types whose keywords the text has, in the order of TYPE_PATTERNS.
+
+    One scan finds what any pattern matches at each place; only these few words are then told apart."""
+    anywhere = r"(?i)(?=(" + "|".join(TYPE_PATTERNS.values()) + "))"
+    return F.get(F.transform(F.array(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b{anywhere}"), 1))), _tags_of), 0)
+
+
+def _tags_of(found: Column) -> Column:
+    like = lambda pattern: lambda w: w.rlike(f"(?i){pattern}")
+    tag = [F.when(F.exists(found, like(p)), F.lit(t)) for t, p in TYPE_PATTERNS.items()]
+    return F.coalesce(F.array_compact(F.array(*tag)), F.array().cast("array<string>"))
 
 
 def repair_unicode(text: Column, latex: bool = False) -> Column:
@@ -215,9 +230,30 @@ INDICATORS = {
 }
 
 
+#: For each pattern, texts of which any match has one (in any case, where the pattern's case doesn't matter).
+NEEDS = {
+    "json": (("{",),),
+    "latex": (("\\begin{",), ("\\",), ("\\",)),
+    "lp": (("Minimize", "Maximize", "MINIMIZE", "MAXIMIZE"), ("Subject", "SUBJECT", "st", "s.t."), ("Bounds",), ("End", "Generals", "Binaries", "Binary")),
+    "mps": (("ROWS",), ("COLUMNS",), ("RHS",), ("ENDATA",), ("NAME",)),
+    "gams": (("solve",), ("equation",), ("variable",), ("..",)),
+    "ampl": (("var",), ("minimize", "maximize"), ("subject", "s.t."), ("param",)),
+    "jump": (("@variable",), ("@constraint", "@objective"), ("JuMP",), ("Model",)),
+    "python": (("pulp", "gurobipy", "pyomo"), ("LpProblem", "ConcreteModel", "gp.Model", "addVar", "addConstr"), ("def", "import", "from")),
+}
+
+
+def _has(text: Column, pattern: str, needs: tuple[str, ...]) -> Column:
+    """text.rlike(pattern), after a plain search for what it needs."""
+    if pattern == INDICATORS["latex"][2][0]:  # three backslashes, counted
+        return F.length(text) - F.length(F.replace(text, F.lit("\\"), F.lit(""))) >= 3
+    where = F.lower(text) if pattern.startswith("(?mi)") else text
+    return reduce(lambda a, b: a | b, [F.contains(where, F.lit(w)) for w in needs]) & text.rlike(pattern)
+
+
 def format_scores(text: Column) -> Column:
     """Formats with any points, the most points first, ties in the order of FORMATS: struct(score, format)."""
     all_of = [
-        F.struct((-sum((F.when(text.rlike(p), n).otherwise(0) for p, n in INDICATORS[f]), F.lit(0))).alias("minus"), F.lit(i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(FORMATS)
+        F.struct((-sum((F.when(_has(text, p, w), n).otherwise(0) for (p, n), w in zip(INDICATORS[f], NEEDS[f])), F.lit(0))).alias("minus"), F.lit(i).alias("rank"), F.lit(f).alias("format")) for i, f in enumerate(FORMATS)
     ]
     return F.transform(F.filter(F.array_sort(F.array(*all_of)), lambda x: x["minus"] < 0), lambda x: F.struct((-x["minus"]).alias("score"), x["format"].alias("format")))

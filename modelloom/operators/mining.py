@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelloom.functions import lexical
 from modelloom.functions import vectors as V
+from modelloom.operators.tables import cut
+
+
+def concept_bags(texts: DataFrame) -> DataFrame:
+    """doc, concept, tf. texts: doc, text. Tokens are counted first, and lemmas and concepts looked up once for each token of a
+    document; only documents with both words of some phrase are folded word by word."""
+    parts = texts.select("doc", F.explode_outer(lexical.split_compounds(F.col("text"))).alias("token"))
+    counts = parts.filter(F.col("token").isNotNull() & lexical.is_token(F.col("token"))).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    lemmas = counts.select("doc", lexical.lemmatize(F.col("token")).alias("lemma"), "n")
+    index = lexical.phrase_index()
+    pairs = [k.split(" ") for k in index if " " in k]
+    met = F.collect_set("lemma").alias("met")
+    both = reduce(lambda a, b: a | b, [F.array_contains("met", a) & F.array_contains("met", b) for a, b in pairs])
+    folded = lemmas.filter(F.col("lemma").isin(sorted({w for p in pairs for w in p}))).groupBy("doc").agg(met).filter(both).select("doc")
+    single = texts.sparkSession.createDataFrame([(k, v) for k, v in index.items() if " " not in k], "lemma string, concept string")  # the thesaurus
+    plain = lemmas.join(folded, "doc", "left_anti").join(F.broadcast(single), "lemma", "left").select("doc", F.coalesce("concept", "lemma").alias("concept"), "n")
+    # explode() would evaluate the concepts once more, in a filter that Spark puts before it
+    word = texts.join(folded, "doc", "left_semi").select("doc", F.explode_outer(lexical.concepts(F.col("text"))).alias("concept"))
+    both = plain.unionByName(word.filter("concept IS NOT NULL").withColumn("n", F.lit(1).cast("long")))
+    return both.groupBy("doc", "concept").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(bags: DataFrame) -> DataFrame:
@@ -19,6 +42,7 @@ def vocabulary(bags: DataFrame) -> DataFrame:
 
 def tf_idf(bags: DataFrame) -> DataFrame:
     """doc, concept, weight: tf * (ln((1 + N) / (1 + df)) + 1), scaled to length 1. bags: doc, concept, tf."""
+    bags = cut(bags)  # read three times
     n = bags.select("doc").distinct().agg(F.count("*").alias("n"))
     df = bags.groupBy("concept").agg(F.count_distinct("doc").alias("df"))
     w = bags.join(df, "concept").join(F.broadcast(n)).withColumn("w", F.col("tf") * V.inverse_frequency(F.col("n"), F.col("df")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modelloom.functions import lexical as L
 from modelloom.functions import vectors as V
 from modelloom.operators import bigm, checks, corpus, grounding, grouped, metrics, mining, review, taxonomy, templates, views
+from modelloom.plans import formulation_sql as S
 from modelloom.sources import formats, formulations, latex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,9 +230,7 @@ def lemmatize(spark, sf_dir):
 
 def _bags(spark, sf_dir, name="documents"):
     key = {"documents": F.col("doc_id"), "benchmark": F.col("item_id")}[name]
-    # explode() would evaluate the concepts once more, in a filter that Spark puts before it
-    words = table(spark, sf_dir, name).select(key.alias("doc"), F.explode_outer(L.concepts(F.col("text"))).alias("concept")).filter("concept IS NOT NULL")
-    return words.groupBy("doc", "concept").agg(F.count("*").alias("tf"))
+    return mining.concept_bags(table(spark, sf_dir, name).select(key.alias("doc"), "text"))
 
 
 _SINGLE = {k: v for k, v in L.phrase_index().items() if " " not in k}
@@ -497,46 +496,46 @@ def structure_hash(spark, sf_dir):
     return corpus.structure_hash(n.unionByName(e), "id", "kind", "line")
 
 
-# ---- formulations (no SQL: documents and sequential algorithms; known answers are in the tests)
+# ---- formulations: SQL reads the same documents as JSON; for sequential algorithms, known answers are in the tests
 
 
-@query()
+@query(S.SCHEMA_NODES)
 def schema_nodes(spark, sf_dir):
-    return views.schema_nodes(formulations.catalog(spark))
+    return views.schema_nodes(formulations.catalog(spark)).withColumn("shape", F.array_join("shape", ","))
 
 
-@query()
+@query(S.SCHEMA_EDGES)
 def schema_edges(spark, sf_dir):
     return views.schema_edges(formulations.catalog(spark))
 
 
-@query()
+@query(S.HYBRID_LABELS)
 def hybrid_labels(spark, sf_dir):
     return views.hybrid_labels(formulations.catalog(spark))
 
 
-@query()
+@query(S.FLAGS)
 def presence_flags(spark, sf_dir):
     return views.flags(formulations.catalog(spark))
 
 
-@query()
+@query(S.FINDINGS)
 def formulation_findings(spark, sf_dir):
     return views.findings(formulations.catalog(spark, faulty=True))
 
 
-@query()
+@query(S.TYPES)
 def formulation_types(spark, sf_dir):
     return views.type_counts(formulations.catalog(spark))
 
 
-@query()
+@query(S.GROUND_TEMPLATE)
 def ground_template(spark, sf_dir):
     """Suppliers as sites that reach regions by their balance, as a sparse matrix."""
     f = formulations.catalog(spark).filter("id = 'coverage'").first()
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    reach = s.select(F.col("n_regionkey").cast("long").alias("k0"), (F.col("s_suppkey") - 1).cast("long").alias("k1"), F.col("s_acctbal").cast("double").alias("value"))
-    price = s.select((F.col("s_suppkey") - 1).cast("long").alias("k0"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("value"))
+    reach = s.select(F.col("n_regionkey").cast("long").alias("k0"), F.col("s_suppkey").cast("long").alias("k1"), F.col("s_acctbal").cast("double").alias("value"))
+    price = s.select(F.col("s_suppkey").cast("long").alias("k0"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("value"))
     n = s.count()
     return templates.Grounder(spark, f, {"D": 5, "S": n}, {"reach": reach, "price": price, "worth": [1, 2, 3, 4, 5], "budget": 9}).matrix()[1]
 
@@ -553,7 +552,7 @@ def parse_formats(spark, sf_dir):
     return formats.parse(d).select("path", "fmt", "stage", "message", F.to_json("model").alias("model"))
 
 
-@query()
+@query(S.GROUND_NODES)
 def ground_view(spark, sf_dir):
     f = formulations.catalog(spark).filter("id = 'lots'").first()
     return templates.Grounder(spark, f, {"P": 25}, {"need": [3] * 25, "fixed": 5, "most": 100}).view()
@@ -593,7 +592,7 @@ def latex_texts(spark, sf_dir):
     return f.select(F.to_json(F.struct(*[c for c in f.columns if c != "corrupt"])).alias("doc")).mapInPandas(run, "fid string, text string, description string")
 
 
-@query()
+@query(S.HASHES)
 def structure_hashes(spark, sf_dir):
     return corpus.structure_hash(views.structure_lines(formulations.catalog(spark)), "fid", "kind", "line")
 
