@@ -178,6 +178,35 @@ class Grounder:
             parts.append(self._product([]).select(F.lit("objinst:0").alias("id"), F.lit("objective").alias("cls"), F.lit(self.f["objective"]["name"]).alias("label"), F.lit(False).alias("degenerate")))
         return reduce(DataFrame.unionByName, parts)
 
+    def edges(self) -> DataFrame:
+        """src, dst, type, role, label, sign, coefficient of the instance graph: instances of constraints and the objective to instances of
+        variables. A sum has its index families as names of its scope; what lies outside an axis has no edge."""
+        parts = []
+        for c in self.f["constraints"]:
+            own, scope = self.instances(c), [q["index"] for q in c["quantifiers"]]
+            own = own.withColumn("src", F.concat(F.lit("cinst:"), "row"))
+            parts += [self._term_edges(own, t, scope, f"{side}[{i}]", "ground_var_in_constraint") for side in ("lhs", "rhs") for i, t in enumerate(c[side])]
+        if self.f["objective"]:
+            goal = self._product([]).withColumn("src", F.lit("objinst:0"))
+            parts += [self._term_edges(goal, t, [], f"obj[{i}]", "ground_var_in_objective") for i, t in enumerate(self.f["objective"]["terms"])]
+        return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+
+    def _term_edges(self, rows: DataFrame, t, scope: list[str], label: str, kind: str) -> DataFrame | None:
+        if t["ref_kind"] != "variable":
+            return None
+        if t["operator"] == "sum":
+            for k in t["operator_over"]:
+                rows, scope = rows.drop(k).crossJoin(self._range(k, k)), [*scope, k]
+        keys = {}
+        for b in t["bindings"]:
+            wrap = b["modulo"] or (b["index"] if b["index"] in self.cyclic else None)
+            base = _base(b["expr"])
+            keys[b["index"]] = shifted(F.col(base), b["offset"], F.lit(self.cards[wrap or b["index"]]), wrap is not None) if base in scope else F.lit(None).cast("long")
+        shape = self.shapes[t["ref"]]
+        dst = F.concat_ws("_", F.lit(f"varinst:{t['ref']}"), *[F.concat(F.lit(s), keys.get(s, F.lit(None)).cast("string")) for s in shape])
+        inside = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys.values()], F.lit(True))
+        return rows.filter(inside).select("src", dst.alias("dst"), F.lit(kind).alias("type"), F.lit(t["role"]).cast("string").alias("role"), F.lit(label).alias("label"), F.lit(t["sign"]).alias("sign"), F.lit(t["coefficient"]).alias("coefficient"))
+
     def model(self) -> Model:
         """All of it on the driver, for the small programs that solve() takes."""
         rows, coefs = self.matrix()

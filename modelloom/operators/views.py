@@ -75,6 +75,17 @@ def hybrid_labels(f: DataFrame) -> DataFrame:
     return t.select("fid", "container", "side", "pos", F.concat(F.when(F.col("sign") == 1, "").otherwise("-"), coef, box).alias("label"))
 
 
+def hybrid_edges(f: DataFrame) -> DataFrame:
+    """The edges of the hybrid view: those of the schema view, a term's edge to what it refers to labelled with its offsets. Nodes are the same."""
+    labels = hybrid_labels(f).select("fid", "container", F.concat("side", F.lit("["), "pos", F.lit("]")).alias("place"), F.col("label").alias("compact"))
+    e = schema_edges(f).withColumn("term", F.col("sign").isNotNull())
+    through = F.col("src").startswith("op:")
+    inner = F.regexp_extract("src", r"^op:(.*)/([a-z]+\[[0-9]+\])/[^/]*$", 1)
+    e = e.withColumn("container", F.when(through, inner).otherwise(F.col("src"))).withColumn("place", F.when(through, F.regexp_extract("src", r"^op:(.*)/([a-z]+\[[0-9]+\])/[^/]*$", 2)).otherwise(F.col("label")))
+    met = e.join(labels, ["fid", "container", "place"], "left")
+    return met.select("fid", "src", "dst", "type", "role", F.when(F.col("term"), F.col("compact")).otherwise(F.col("label")).alias("label"), "sign", "coefficient")
+
+
 def flags(f: DataFrame) -> DataFrame:
     """fid and the five presence flags, one projection over the nested rows."""
     every = "concat(flatten(transform(constraints, c -> concat(c.lhs, c.rhs))), coalesce(objective.terms, array()))"

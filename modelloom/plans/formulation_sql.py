@@ -85,3 +85,33 @@ UNION ALL SELECT 'served_D' || d, 'miss_' || d, 1.0 FROM range(5) x(d) UNION ALL
 GROUND_NODES = """SELECT 'varinst:' || v || '_P' || p AS id, 'variable' AS cls, v || '[' || p || ']' AS label, false AS degenerate FROM (VALUES ('make'), ('stock'), ('setup')) x(v), range(25) y(p)
 UNION ALL SELECT 'cinst:' || c || '_P' || p, 'constraint', c || '_P' || p, c = 'balance' AND p = 0 FROM (VALUES ('balance'), ('only_if_set_up')) x(c), range(25) y(p)
 UNION ALL SELECT 'objinst:0', 'objective', 'objective', false"""
+
+HYBRID_EDGES = f"""{_F}, {EDGES}, h AS ({HYBRID_LABELS[len(_F) :].removeprefix(", ").replace("b AS (", "SELECT fid, container, side || '[' || pos || ']' AS place, label FROM (WITH b AS (", 1)}))
+SELECT e.fid, src, dst, type, role, CASE WHEN sign IS NULL THEN e.label ELSE h.label END AS label, sign, coefficient FROM e LEFT JOIN h ON h.fid = e.fid AND sign IS NOT NULL
+  AND (src = 'op:' || h.container || '/' || place || '/sum' OR (src = h.container AND e.label = place))"""
+
+GROUND_EDGES = """WITH k AS (SELECT * FROM range(25) x(p))
+SELECT 'cinst:balance_P' || p AS src, 'varinst:' || v || '_P' || (p + o) AS dst, 'ground_var_in_constraint' AS type, 'lhs' AS role, 'lhs[' || nth || ']' AS label, sign, '1' AS coefficient
+FROM k, (VALUES ('stock', -1, 0, 1), ('make', 0, 1, 1), ('stock', 0, 2, -1)) x(v, o, nth, sign) WHERE p + o >= 0
+UNION ALL SELECT 'cinst:only_if_set_up_P' || p, 'varinst:make_P' || p, 'ground_var_in_constraint', 'lhs', 'lhs[0]', 1, '1' FROM k
+UNION ALL SELECT 'cinst:only_if_set_up_P' || p, 'varinst:setup_P' || p, 'ground_var_in_constraint', 'rhs', 'rhs[0]', 1, 'most' FROM k
+UNION ALL SELECT 'objinst:0', 'varinst:' || v || '_P' || p, 'ground_var_in_objective', 'objective', 'obj[' || nth || ']', 1, c FROM k, (VALUES ('stock', 0, '1'), ('setup', 1, 'fixed')) x(v, nth, c)"""
+
+_SIGS = f"""{_F}, q AS (SELECT fid, x->>'name' AS name, unnest(json_extract(x, '$.quantifiers[*]')) AS q, unnest(range(len(json_extract(x, '$.quantifiers[*]')))) AS nth FROM c),
+qs AS (SELECT fid, name, list(q->>'over' ORDER BY nth) AS shape, list((q->>'index') || ':' || (q->>'over') || CASE WHEN coalesce(q->>'restriction', 'none') = 'none' THEN '' ELSE ':' || (q->>'restriction') END ORDER BY nth) AS quant FROM q GROUP BY ALL),
+rs AS (SELECT fid, container, list(CASE WHEN literal THEN 'literal' ELSE ref_kind END ORDER BY CASE WHEN literal THEN 'literal' ELSE ref_kind END) AS refs FROM t GROUP BY ALL),
+s AS (SELECT fid, 'variable' AS part, x->>'name' AS name, coalesce(x->>'domain_role', '') AS domain, coalesce(x->>'role', 'primary') AS role, coalesce(x->>'domain', 'continuous') AS kind, coalesce(CAST(x->'shape' AS VARCHAR[]), []) AS shape, CAST([] AS VARCHAR[]) AS quant, '' AS cmp, CAST([] AS VARCHAR[]) AS refs FROM v
+UNION ALL SELECT fid, 'parameter', x->>'name', coalesce(x->>'domain_class', ''), 'parameter', coalesce(x->>'kind', 'scalar'), coalesce(CAST(x->'shape' AS VARCHAR[]), []), [], '', [] FROM p
+UNION ALL SELECT c.fid, 'constraint', x->>'name', coalesce(x->>'domain_class', ''), 'constraint', coalesce(x->>'kind', 'linear'), coalesce(shape, []), coalesce(quant, []), x->>'comparator', coalesce(refs, [])
+  FROM c LEFT JOIN qs ON qs.fid = c.fid AND qs.name = x->>'name' LEFT JOIN rs ON rs.fid = c.fid AND rs.container = 'constraint:' || (x->>'name')
+UNION ALL SELECT fid, 'objective', coalesce(j->>'$.objective.name', 'objective'), 'objective_defining', 'objective', (j->>'$.objective.sense') || '/' || coalesce(j->>'$.objective.combination', 'sum'), [], [], '', [] FROM f
+UNION ALL SELECT fid, 'model', j->>'name', '', 'model', j->>'family', json_extract_string(j, '$.indices[*].name'), [], '', [] FROM f)
+"""
+SIGNATURES = f"""{_SIGS} SELECT fid, part, name, 'domain=' || domain || '|role=' || role || '|kind=' || kind || '|shape=[' || coalesce(array_to_string(shape, ','), '') || ']|quant=[' || coalesce(array_to_string(quant, ','), '') || ']|cmp=' || cmp || '|refs=[' || coalesce(array_to_string(refs, ','), '') || ']' AS signature FROM s"""
+FACETS = f"""{_SIGS} SELECT DISTINCT fid, part, name, feature, 1.0::DOUBLE AS value FROM (
+SELECT fid, part, name, unnest(list_concat(['role:' || role, 'kind:' || kind, 'arity:' || len(shape)], list_transform(shape, lambda o: 'over:' || o), list_transform(quant, lambda o: 'quant:' || o))) AS feature FROM s
+UNION ALL SELECT fid, part, name, 'domain:' || domain FROM s WHERE domain <> '')"""
+
+ISOMORPHISM = f"""{_F}, n AS (SELECT count(*) AS n FROM nation), k AS (SELECT j->>'family' AS cluster, count(*) AS docs, min(fid) AS least FROM f GROUP BY 1)
+SELECT cluster, CAST(docs * n AS BIGINT) AS size, CAST(docs * n * (docs * n - 1) / 2 AS BIGINT) AS pairs, CAST(docs * n * (n - 1) / 2 AS BIGINT) AS same_pairs,
+  docs * n * (n - 1) / (docs * n * (docs * n - 1)) AS pair_rate, n AS largest, n / (docs * n) AS whole_rate, least || '_0' AS representative FROM k, n"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modelloom.functions import lexical as L
 from modelloom.functions import vectors as V
-from modelloom.operators import bigm, checks, corpus, grounding, grouped, metrics, mining, review, taxonomy, templates, views
+from modelloom.operators import bigm, checks, corpus, grounding, grouped, metrics, mining, review, signatures, taxonomy, templates, views
 from modelloom.plans import formulation_sql as S
 from modelloom.sources import formats, formulations, latex
 
@@ -597,16 +597,56 @@ def structure_hashes(spark, sf_dir):
     return corpus.structure_hash(views.structure_lines(formulations.catalog(spark)), "fid", "kind", "line")
 
 
-@query()
+def _renamed(spark, sf_dir) -> DataFrame:
+    """The catalog once for each nation, each document with a name of its own: graphs that are the same but for names."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+    return formulations.catalog(spark).crossJoin(F.broadcast(n)).withColumn("id", F.concat("id", F.lit("_"), "k")).drop("k")
+
+
+@query(S.ISOMORPHISM)
 def isomorphism_classes(spark, sf_dir):
-    """Of customers' order graphs (their orders by status, each with a link to the next), those of one structure, found within equal hashes."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderstatus")).alias("kinds"))
+    """Which schema graphs are the same but for names: of the catalog's documents, each in a copy for every nation."""
+    f = _renamed(spark, sf_dir)
+    classes = corpus.isomorphism_classes(views.schema_nodes(f), views.schema_edges(f))
+    return corpus.isomorphism_report(f.select(F.col("family").alias("cluster"), F.col("id").alias("fid")), classes)
 
-    def one(pdf):
-        import pandas as pd
 
-        graphs = [({i: k for i, k in enumerate(ks)}, [(i, i + 1, "next") for i in range(len(ks) - 1)]) for ks in pdf["kinds"]]
-        least = [next(j for j in range(i + 1) if grouped.isomorphic(graphs[j], graphs[i])) for i in range(len(graphs))]
-        return pd.DataFrame({"o_custkey": pdf["o_custkey"], "same_as": [pdf["o_custkey"].iloc[j] for j in least]})
+@query(S.HYBRID_EDGES)
+def hybrid_view(spark, sf_dir):
+    return views.hybrid_edges(formulations.catalog(spark))
+
+
+@query(S.GROUND_EDGES)
+def ground_edges(spark, sf_dir):
+    f = formulations.catalog(spark).filter("id = 'lots'").first()
+    return templates.Grounder(spark, f, {"P": 25}, {"need": [3] * 25, "fixed": 5, "most": 100}).edges()
+
 
-    return o.groupBy(F.sha2(F.array_join("kinds", ",").cast("binary"), 256)).applyInPandas(one, "o_custkey long, same_as long")
+@query(S.SIGNATURES)
+def signature_texts(spark, sf_dir):
+    return signatures.signatures(formulations.catalog(spark)).select("fid", "part", "name", signatures.canonical().alias("signature"))
+
+
+@query(S.FACETS)
+def signature_features(spark, sf_dir):
+    return signatures.features(signatures.signatures(formulations.catalog(spark))).filter("NOT startswith(feature, 'concept:')")
+
+
+@query("SELECT label, row_number() OVER (ORDER BY label) - 1 AS position FROM (SELECT DISTINCT n_name AS label FROM nation UNION SELECT 'unassigned')")
+def label_vocabulary(spark, sf_dir):
+    return signatures.vocabulary(table(spark, sf_dir, "nation"), "n_name")
+
+
+@query(
+    "WITH r AS (SELECT s_nationkey AS cluster, s_suppkey AS id, CASE WHEN s_nationkey % 3 = 0 THEN 0 ELSE greatest(0, floor(s_acctbal)) END AS cites, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 END AS q FROM supplier), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cites DESC, q, id) AS place FROM r) "
+    "SELECT cluster, CASE WHEN any_value(cites) FILTER (place = 1) > 0 THEN any_value(id) FILTER (place = 1) WHEN cluster % 2 = 0 THEN -1 - cluster ELSE any_value(id) FILTER (place = 1) END AS chosen, "
+    "CASE WHEN any_value(cites) FILTER (place = 1) > 0 THEN 'highest_citation' WHEN cluster % 2 = 0 THEN 'benchmark_fallback' ELSE 'next_highest_fallback' END AS reason, string_agg(id, ',' ORDER BY place) AS ranked FROM k GROUP BY cluster"
+)
+def representative_choices(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    cites = F.when(F.col("s_nationkey") % 3 == 0, 0).otherwise(F.greatest(F.lit(0), F.floor("s_acctbal"))).cast("long")
+    tier = F.element_at(F.array(F.lit("A"), F.lit("C"), F.lit("?")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    clusters, records = s.select(F.col("s_nationkey").alias("cluster"), F.col("s_suppkey").cast("long").alias("id")), s.select(F.col("s_suppkey").cast("long").alias("id"), cites.alias("citations"), tier.alias("tier"))
+    spare = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("cluster"), (-1 - F.col("n_nationkey")).cast("long").alias("id"))
+    return corpus.select_representatives(clusters, records, spare).withColumn("ranked", F.array_join(F.col("ranked").cast("array<string>"), ","))
