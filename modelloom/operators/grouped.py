@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import random
 from collections import defaultdict
 
@@ -176,7 +177,11 @@ def isomorphic(a: tuple[dict, list], b: tuple[dict, list]) -> bool:
     return place(0, {}, set())
 
 
-def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[str, float, np.ndarray]:
+class Unfinished(RuntimeError):
+    """The time that was given is over."""
+
+
+def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, until: float = math.inf) -> tuple[str, float, np.ndarray]:
     """max c x, a x <= b, x >= 0: two phases with Bland's rule. (status, objective, x)"""
     m, n = a.shape
     sign = np.where(b < 0, -1.0, 1.0)
@@ -190,6 +195,8 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[str, float, np
 
     def run(columns: int) -> bool:
         while True:
+            if time.monotonic() > until:
+                raise Unfinished
             enter = next((j for j in range(columns) if t[-1, j] < -1e-9), None)
             if enter is None:
                 return True
@@ -235,8 +242,9 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[str, float, np
     return "optimal", float(c @ x[:n]), x[:n]
 
 
-def solve(model) -> tuple[str, float, dict[str, float]]:
-    """A small linear or mixed-integer model (modelloom.sources.model.Model) by simplex and branch and bound."""
+def solve(model, seconds: float = math.inf) -> tuple[str, float, dict[str, float]]:
+    """A linear or mixed-integer model (modelloom.sources.model.Model) by simplex and branch and bound. Unfinished is raised after so many seconds."""
+    until = time.monotonic() + seconds
     columns, shift = [], {}
     for v in model.variables.values():
         lo, hi = v.lower, v.upper
@@ -286,7 +294,7 @@ def solve(model) -> tuple[str, float, dict[str, float]]:
     best, todo, first = None, [()], None
     while todo:
         extra = todo.pop()
-        status, _, x = simplex(cost, *rows_of(extra))
+        status, _, x = simplex(cost, *rows_of(extra), until)
         first = first or status
         if status == "unbounded":
             return "unbounded", math.inf, {}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelloom.operators.grounding import RESTRICTIONS, shifted
+from modelloom.sources.instances import parameter_table
 from modelloom.sources.model import Model, Row, Variable
 
 
@@ -20,16 +21,6 @@ class Unsupported(ValueError):
     """What no linear program expresses."""
 
 
-def parameter_table(spark: SparkSession, value) -> DataFrame:
-    """k0, k1, ..., value of a number or of nested lists."""
-
-    def cells(x, key=()):
-        return [c for i, y in enumerate(x) for c in cells(y, (*key, i))] if isinstance(x, list) else [(*key, float(x))]
-
-    rows = cells(value)
-    return spark.createDataFrame(rows, ", ".join([*(f"k{i} long" for i in range(len(rows[0]) - 1)), "value double"]))
-
-
 def _base(expr: str) -> str:
     return "".join(itertools.takewhile(lambda c: c.isalnum() or c == "_", expr.strip()))
 
