@@ -79,6 +79,36 @@ def silhouettes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(sides, "a", "left").select(F.col("a").alias("id"), F.coalesce(s, F.lit(0.0)).alias("silhouette"))
 
 
+#: Sums of all labels, in bytes, that may go to each executor.
+MOST_SUMS = 32 << 20
+
+
+def label_silhouettes(vectors: DataFrame) -> DataFrame:
+    """id, label, silhouette by cosine distance. vectors: id, vec, label. A label of one, or only one label: 0.
+
+    No pair is made: the mean distance of a vector to a label's is 1 less its product with the mean of their unit vectors. The
+    sums of all labels are one row, broadcast if it is of a checked size; beyond, the pairs' way (silhouettes) is for few vectors."""
+    size = F.sqrt(V.dot(F.col("vec"), F.col("vec")))
+    unit = vectors.select("id", "label", F.transform("vec", lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("double")).alias("u"))
+    sums = unit.select("label", F.posexplode("u").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"), F.max("n").alias("n"))
+    sums = cut(sums)
+    needed = sums.agg(F.coalesce(F.sum(8 * F.size("sum") + 64), F.lit(0))).first()[0]
+    if needed > MOST_SUMS:
+        raise ValueError(f"label_silhouettes: the sums of all labels take {needed} bytes, over {MOST_SUMS}")
+    every = sums.agg(F.collect_list(F.struct("label", "sum", "n")).alias("every"))
+    own, other = F.filter("every", lambda g: g["label"] == F.col("label")), F.filter("every", lambda g: g["label"] != F.col("label"))
+    met = unit.join(F.broadcast(every)).withColumn("own", F.get(own, 0)).withColumn("others", other)
+    rest = F.col("own.n") - 1
+    inner = F.when(rest > 0, (rest - V.dot(F.col("u"), F.col("own.sum")) + V.dot(F.col("u"), F.col("u"))) / rest)
+    outer = F.array_min(F.transform("others", lambda g: 1 - V.dot(F.col("u"), g["sum"]) / g["n"]))
+    floor = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))  # noqa: E731 - greatest() would take a null for 0
+    met = met.select("id", "label", floor(inner).alias("inner"), floor(outer).alias("outer"))
+    s = (F.col("outer") - F.col("inner")) / F.greatest("outer", "inner")
+    none = F.col("inner").isNull() | F.col("outer").isNull() | (F.greatest("outer", "inner") == 0)
+    return met.select("id", "label", F.when(none, 0.0).otherwise(s).alias("silhouette"))
+
+
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
     """One row, ari, of two labellings of the same items. pairs: x, y. No items, or nothing to expect: 1."""
     cells = pairs.groupBy("x", "y").agg(F.count("*").alias("n"))

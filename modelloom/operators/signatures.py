@@ -42,6 +42,14 @@ def signatures(f: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def tokens() -> Column:
+    """All facets of a signature's columns as words, with repetition; facets without a value are left out."""
+    each = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(f"{prefix}:"), x))
+    given = lambda c: F.when(F.col(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    one = lambda c: F.array(F.col(c))
+    return F.concat(each("domain", given("domain")), each("role", one("role")), each("kind", one("kind")), F.array(F.concat(F.lit("arity:"), F.size("shape").cast("string"))), each("over", "shape"), each("cmp", given("comparator")), each("quant", "quantifiers"), each("ref", "referents"))
+
+
 def features(sigs: DataFrame) -> DataFrame:
     """fid, part, name, feature, value: facets of the signature at 1, concepts of the text with their counts. Zero-length facets are left out."""
     facet = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), c)

@@ -1,4 +1,5 @@
-"""Named clusterings of entities, level by level: variables and parameters, then constraints, then whole models.
+"""Named clusterings of entities, level by level: variables and parameters, then constraints and objectives, then whole models; and
+models by their words alone, for their domain and for the way of solving.
 
 A level's entities become bags of tokens in Spark, TF-IDF vectors, and then one group each for the
 clustering itself, which is sequential and as large as a level of the catalog.
@@ -6,44 +7,84 @@ clustering itself, which is sequential and as large as a level of the catalog.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelloom.functions import lexical
-from modelloom.operators import grouped, mining, views
+from modelloom.operators import grouped, metrics, mining, signatures, views
+from modelloom.operators.tables import cut
 from modelloom.sources.formulations import terms
 
 THRESHOLD = 0.7
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _entities(f: DataFrame, *parts: str) -> DataFrame:
+    sigs = signatures.signatures(f).filter(F.col("part").isin(*parts))
+    return sigs.select("fid", F.concat_ws("::", "fid", "part", "name").alias("doc"), "text", signatures.tokens().alias("facets"))
+
+
 def entities_v(f: DataFrame) -> DataFrame:
-    """doc, text, facets of variables and parameters."""
-    v = f.select(F.col("id").alias("fid"), F.explode("variables").alias("x"))
-    v = v.select(F.concat_ws("::", "fid", F.lit("variable"), "x.name").alias("doc"), F.concat_ws(" ", "x.name", "x.description").alias("text"), F.array(F.concat(F.lit("domain:"), "x.domain"), F.concat(F.lit("role:"), "x.role"), F.concat(F.lit("arity:"), F.size("x.shape"))).alias("facets"))
-    p = f.select(F.col("id").alias("fid"), F.explode("parameters").alias("x"))
-    p = p.select(F.concat_ws("::", "fid", F.lit("parameter"), "x.name").alias("doc"), F.concat_ws(" ", "x.name", "x.description").alias("text"), F.array(F.concat(F.lit("kind:"), "x.kind"), F.concat(F.lit("arity:"), F.size("x.shape"))).alias("facets"))
-    return v.unionByName(p)
+    """doc, text, facets of variables and parameters: their signatures."""
+    return _entities(f, "variable", "parameter").drop("fid")
 
 
 def entities_c(f: DataFrame, named: DataFrame) -> DataFrame:
-    """Constraints, with the cluster names of the variables that they refer to. named: doc, name."""
+    """Constraints and objectives: their signatures, the cluster names of the variables that they refer to, and flags. named: doc, name."""
+    goal = f.filter("objective IS NOT NULL").select(F.col("id").alias("fid"), F.concat_ws("::", "id", F.lit("objective"), "objective.name").alias("goal"))
+    t = terms(f).join(goal, "fid", "left").withColumn("doc", F.when(F.col("ctype") == "objective", F.col("goal")).otherwise(F.concat_ws("::", "fid", F.lit("constraint"), F.substring("container", 12, 1000))))
+    refs = t.filter("ref_kind = 'variable'").select("doc", F.concat_ws("::", "fid", F.lit("variable"), "ref").alias("ref")).distinct()
+    names = refs.join(named.select(F.col("doc").alias("ref"), "name"), "ref").groupBy("doc").agg(F.array_sort(F.collect_list(F.concat(F.lit("vcluster:"), "name"))).alias("more"))
     c = f.select(F.col("id").alias("fid"), F.explode("constraints").alias("x"))
-    doc = F.concat_ws("::", "fid", F.lit("constraint"), "x.name")
-    own = c.select(doc.alias("doc"), F.concat_ws(" ", "x.name", "x.description").alias("text"), F.array(F.concat(F.lit("kind:"), "x.kind"), F.concat(F.lit("cmp:"), "x.comparator"), F.concat(F.lit("quant:"), F.size("x.quantifiers"))).alias("facets"))
-    refs = terms(f).filter("ctype = 'constraint' AND ref_kind = 'variable'").select(F.concat_ws("::", "fid", F.lit("constraint"), F.substring("container", 12, 1000)).alias("doc"), F.concat_ws("::", "fid", F.lit("variable"), "ref").alias("ref")).distinct()
-    names = refs.join(named.select(F.col("doc").alias("ref"), "name"), "ref").groupBy("doc").agg(F.array_sort(F.collect_set(F.concat(F.lit("vcluster:"), "name"))).alias("more"))
-    return own.join(names, "doc", "left").select("doc", "text", F.concat("facets", F.coalesce("more", F.array().cast("array<string>"))).alias("facets"))
+    aggregates = F.exists(F.concat("x.lhs", "x.rhs"), lambda t: t["operator"] != "none")
+    flags = F.array_compact(F.array(F.when((F.col("x.kind") == "big_m") | F.col("x.indicator").isNotNull(), "cflag:big_m"), F.when(aggregates, "cflag:aggregation")))
+    c = c.select(F.concat_ws("::", "fid", F.lit("constraint"), "x.name").alias("doc"), flags.alias("flags"))
+    met = _entities(f, "constraint", "objective").join(names, "doc", "left").join(c, "doc", "left")
+    return met.select("doc", "text", F.concat("facets", F.coalesce("more", _none()), F.coalesce("flags", _none())).alias("facets"))
+
+
+# The edges of the buckets of measures, and the greatest diameter that is told apart.
+DENSITIES, RATIOS, SIZES, FARTHEST = (0.05, 0.15, 0.30), (0.75, 1.25, 2.0), (10.0, 50.0, 200.0, 1000.0), 12
 
 
-def entities_m(f: DataFrame, named: DataFrame) -> DataFrame:
-    """Whole models, with the cluster names of their constraints and their flags."""
+def _bucket(value: Column, edges: tuple[float, ...]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)).cast("string")
+
+
+def model_features(f: DataFrame) -> DataFrame:
+    """fid, facets: family, kinds and domains with repetition, presence flags, and measures of the schema graph by bucket."""
+    nodes, edges = views.schema_nodes(f), views.schema_edges(f)
+    each = lambda prefix, c: F.transform(F.filter(F.col(c), lambda x: x.isNotNull()), lambda x: F.concat(F.lit(f"{prefix}:"), x))
+    kinds = F.concat(F.array(F.concat(F.lit("family:"), "family")), each("ckind", "constraints.kind"), each("cdom", "constraints.domain_class"), each("vdom", "variables.domain"), each("vrole", "variables.domain_role"))
     flags = views.flags(f)
-    tokens = F.array_compact(F.array(*[F.when(F.col(c), F.lit(f"flag:{c}")) for c in flags.columns if c != "fid"]))
-    names = named.select(F.split("doc", "::")[0].alias("fid"), F.concat(F.lit("cfamily:"), "name").alias("t")).groupBy("fid").agg(F.array_sort(F.collect_set("t")).alias("more"))
-    own = f.select(F.col("id").alias("fid"), F.concat_ws(" ", "name", "description", F.array_join("tags", " ")).alias("text"), F.col("family"))
-    met = own.join(flags.select("fid", tokens.alias("flags")), "fid").join(names, "fid", "left")
-    return met.select(F.col("fid").alias("doc"), "text", F.concat(F.array(F.concat(F.lit("family:"), "family")), "flags", F.coalesce("more", F.array().cast("array<string>"))).alias("facets"))
+    on = F.array_compact(F.array(*[F.when(F.col(c), F.lit(f"flag:{c}")) for c in flags.columns if c != "fid"]))
+    word = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), c.cast("string"))
+    measured = F.array(
+        word("density_bin", _bucket(F.col("density"), DENSITIES)), word("cvr_bin", _bucket(F.col("ratio"), RATIOS)), word("size_bin", _bucket(F.col("size"), SIZES)),
+        word("diam", F.least(F.coalesce("diameter", F.lit(0)), F.lit(FARTHEST))), word("coherent", F.col("coherent")), word("complete", F.col("complete").cast("int")),
+    )
+    met = metrics.summary(nodes, edges).join(metrics.of_documents(nodes, edges), "fid").join(flags.select("fid", on.alias("flags")), "fid")
+    return met.join(f.select(F.col("id").alias("fid"), kinds.alias("kinds")), "fid").select("fid", F.concat("kinds", "flags", measured).alias("facets"))
+
+
+def entities_m(f: DataFrame, named_v: DataFrame, named_c: DataFrame) -> DataFrame:
+    """Whole models: their features, and the cluster names of their parts, with repetition. named: doc, name."""
+    of = lambda named, prefix: named.select(F.split("doc", "::")[0].alias("fid"), F.concat(F.lit(f"{prefix}:"), "name").alias("t"))
+    names = of(named_v, "vtype").unionByName(of(named_c, "cfamily")).groupBy("fid").agg(F.array_sort(F.collect_list("t")).alias("more"))
+    met = model_features(f).join(names, "fid", "left")
+    return met.select(F.col("fid").alias("doc"), F.lit("").alias("text"), F.concat("facets", F.coalesce("more", _none())).alias("facets"))
+
+
+def entities_text(f: DataFrame, tags_twice: bool) -> DataFrame:
+    """Whole models by their words alone: tags count once more for the domain than for the way of solving."""
+    text = F.concat_ws(" ", "name", "description", F.array_join("tags", " "))
+    return f.select(F.col("id").alias("doc"), (F.concat_ws(" ", F.array_join("tags", " "), text) if tags_twice else text).alias("text"), _none().alias("facets"))
 
 
 def bags(entities: DataFrame) -> DataFrame:
@@ -68,14 +109,63 @@ def named_clusters(entities: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def induce(f: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """level, doc, cluster, name of all three levels; a level is written before the next reads its names."""
-    from modelloom.operators.tables import cut
-
+    """level, doc, cluster, name of all five levels; a level is written before the next reads its names."""
     v = cut(named_clusters(entities_v(f), threshold))
     c = cut(named_clusters(entities_c(f, v), threshold))
-    m = named_clusters(entities_m(f, c), threshold)
-    tag = lambda df, x: df.select(F.lit(x).alias("level"), "doc", "cluster", "name")
-    return tag(v, "V").unionByName(tag(c, "C")).unionByName(tag(m, "M"))
+    m = named_clusters(entities_m(f, v, c), threshold)
+    # The names of the levels.
+    levels = {"V": v, "C": c, "M": m, "domain": named_clusters(entities_text(f, True), threshold), "solution_approach": named_clusters(entities_text(f, False), threshold)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(x).alias("level"), "doc", "cluster", "name") for x, df in levels.items()])
+
+
+def _apart(vectors: np.ndarray) -> np.ndarray:
+    """Cosine distances; a vector of zeros is at 1 from all but itself."""
+    size = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(size > 0, size, 1)[:, None]
+    d = np.clip(1 - unit @ unit.T, 0, 2)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def stability(vectors: np.ndarray, threshold: float = THRESHOLD, draws: int = 25, seed: int = 0) -> dict[str, float]:
+    """How far a clustering by a threshold holds: mean silhouette, Rand indices of bootstrap draws, and those of two other ways to cluster."""
+    d = _apart(vectors)
+    labels = grouped.average_linkage(d, threshold)
+    drawn = grouped.bootstrap(d, labels, draws, seed, threshold) or [1.0]
+    k = select_k(d)[0]
+    out = {"silhouette": float(np.mean(silhouettes(d, np.array(labels)))) if len(d) else 0.0, "ari_mean": float(np.mean(drawn)), "ari_min": float(min(drawn)), "ari_max": float(max(drawn))}
+    out["fixed_k"] = float(grouped.rand_index(labels, grouped.average_linkage(d, k=k)))
+    # Every other concept, in their order; too few concepts aren't halved.
+    out["halved"] = float(grouped.rand_index(labels, grouped.average_linkage(_apart(vectors[:, ::2]), threshold))) if vectors.shape[1] >= 4 else 1.0
+    return out
+
+
+def stability_report(rows: DataFrame, threshold: float = THRESHOLD, draws: int = 25, seed: int = 0) -> DataFrame:
+    """grp and the measures of stability(), a row each. rows: grp, id, vec (dense). A group is one task, as large as what is clustered."""
+
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], **stability(np.stack(pdf["vec"].to_list()), threshold, draws, seed)}])
+
+    kind = rows.schema["grp"].dataType.simpleString()
+    return rows.groupBy("grp").applyInPandas(one, f"grp {kind}, silhouette double, ari_mean double, ari_min double, ari_max double, fixed_k double, halved double")
+
+
+def silhouettes(d: np.ndarray, labels: np.ndarray) -> list[float]:
+    """One for each item; 0 alone in its cluster, or with one cluster only."""
+    out = []
+    for i in range(len(d)):
+        own = labels == labels[i]
+        own[i] = False
+        others = set(labels.tolist()) - {labels[i]}
+        if not own.any() or not others:
+            out.append(0.0)
+            continue
+        a, b = d[i, own].mean(), min(d[i, labels == c].mean() for c in others)
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return out
 
 
 def select_k(d: np.ndarray, least: int = 2, most: int = 8) -> tuple[int, float]:
@@ -83,15 +173,7 @@ def select_k(d: np.ndarray, least: int = 2, most: int = 8) -> tuple[int, float]:
     best = (1, 0.0)
     for k in range(max(2, least), min(most, len(d) - 1) + 1):
         labels = np.array(grouped.average_linkage(d, k=k))
-        s = []
-        for i in range(len(d)):
-            own = labels == labels[i]
-            own[i] = False
-            if not own.any():
-                s.append(0.0)
-                continue
-            a, b = d[i, own].mean(), min(d[i, labels == c].mean() for c in set(labels.tolist()) - {labels[i]})
-            s.append((b - a) / max(a, b) if max(a, b) else 0.0)
+        s = silhouettes(d, labels)
         if best[0] == 1 or float(np.mean(s)) > best[1] + 1e-12:
             best = (k, float(np.mean(s)))
     return best

@@ -309,6 +309,13 @@ def _sample() -> Column:
     return F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("doc_id") % 5 + 1).cast("int"))
 
 
+def _commented() -> Column:
+    """A model in one of the formats, with the whole text of the document before it as comments."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % 5 + 1).cast("int"))
+    lines = F.regexp_replace(F.coalesce("text", F.lit("")), r"\R", "\n")
+    return F.concat(pick(("\\ ", "* ", "# ", "# ", "\\ ")), F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), pick(("\\ ", "* ", "# ", "# ", "\\ ")))), F.lit("\n"), _sample())
+
+
 _SAMPLE_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAMPLES)) + " END"
 
 
@@ -362,9 +369,7 @@ def cosine_pairs(spark, sf_dir):
     "SELECT label, round(avg(coalesce((o - i) / greatest(o, i), 0)), 6) AS silhouette FROM s GROUP BY label"
 )
 def silhouette_by_label(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    s = mining.silhouettes(mining.distances(v.select("id", "vec")), v.select("id", "label"))
-    return s.join(v.select("id", "label"), "id").groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    return mining.label_silhouettes(_vectors(spark, sf_dir)).groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
 
 
 @query(
@@ -542,13 +547,14 @@ def ground_template(spark, sf_dir):
 
 @query()
 def cluster_embeddings(spark, sf_dir):
-    return grouped.cluster_groups(_vectors(spark, sf_dir).select((F.col("id") % 5).alias("grp"), "id", "vec"))
+    """The vectors of each label by average linkage."""
+    return grouped.cluster_groups(_vectors(spark, sf_dir).select(F.col("label").alias("grp"), "id", "vec"))
 
 
 @query()
 def parse_formats(spark, sf_dir):
-    """Sample texts of all formats through the readers, and what fails."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, ("lp", "mps", "ampl", "jump", "lp"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("fmt"), _sample().alias("text"))
+    """Texts of all formats, each with a whole document as its comments, through the readers, and what fails."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, ("lp", "mps", "ampl", "jump", "lp"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("fmt"), _commented().alias("text"))
     return formats.parse(d).select("path", "fmt", "stage", "message", F.to_json("model").alias("model"))
 
 
@@ -560,7 +566,7 @@ def ground_view(spark, sf_dir):
 
 @query()
 def review_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), _sample().alias("text"), F.lit(None).cast("string").alias("fmt"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), _commented().alias("text"), F.lit(None).cast("string").alias("fmt"))
     return review.reviews(d)
 
 
