@@ -48,7 +48,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hashes of the runs that end at each byte or just after it, two for each of n + 1 places; start, end, row, script of each word)."""
     start, end, row = A.word_spans(data, offsets, A.LETTER)
     text = np.full(len(data) + 5, 32, np.uint32)
-    # Two rows may touch: a word's runs reach no further back than the space before it.
+    # A word's runs reach no further back than the space before it.
     text[4:-1] = np.where(A.LETTER[data], A.LOWER[data], 32)
     back = np.full(len(data) + 1, 9, np.int64)  # bytes of the word before a place, 9: enough
     for k in (0, 1, 2):
@@ -89,6 +89,7 @@ def train(texts: list[tuple[str, str]]) -> Model | None:
     scripts = np.zeros((len(_NAMES), len(languages)))
     for k, language in enumerate(languages):
         for _, _, data, offsets in A.chunks(pa.array([t for x, t in texts if x == language])):
+            data, offsets = A.apart(data, offsets)
             h, start, end, _, script = _runs(data, offsets)
             at = _inside(start, end, len(data))
             counts[:, k] += np.bincount(h[at, 0], minlength=2 << BITS) + np.bincount(h[at, 1] + (1 << BITS), minlength=2 << BITS)
@@ -145,6 +146,7 @@ def _tag(model: Model | None, penalty: float, bound: float):
         for b in batches:
             for first, stop, data, offsets in A.chunks(b["text"]):
                 n = stop - first
+                data, offsets = A.apart(data, offsets)
                 names, share = np.full(n, UND, object), np.zeros(n)
                 begin = finish = count = np.zeros(0, np.int64)
                 spoken: list[str] = []

@@ -45,7 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     part = lambda s, e, k: (A.mixed(A.part_hashes(sums, s, e) + A.U64(k)) >> down).astype(np.int32)
     begin = part(start, np.minimum(start + 4, end), 3)
     near = A.mixed(begin.astype(A.U64))
-    before, after = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+    before, after = np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
     if len(start) > 1:
         same = row[1:] == row[:-1]
         before[1:] = np.where(same, (A.mixed(near[:-1] + A.U64(1)) >> down).astype(np.int32), 0)
