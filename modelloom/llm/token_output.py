@@ -37,7 +37,7 @@ from modelloom.llm.wavelet import WaveletMatrix, encode
 
 END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 600_000
 #: Bytes of text that are cut into runs at once; no run of over LONGEST characters is kept.
-AT_ONCE, LONGEST = 4 << 20, 64
+AT_ONCE, LONGEST = 1 << 20, 64
 #: Letters, then marks: encoded apart, whatever is around them.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
 #: Runs with a space after each: letters and marks, or anything else.
