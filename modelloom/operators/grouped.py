@@ -38,6 +38,57 @@ def average_linkage(d: np.ndarray, threshold: float = 0.7, k: int | None = None)
     return out
 
 
+#: Distances that are held at once, in average_linkage_of.
+MOST_HELD = 1 << 21
+
+
+def average_linkage_of(u: np.ndarray, threshold: float = 0.7) -> list[int]:
+    """average_linkage() by cosine distance, from the vectors of length 1 rather than from all distances.
+
+    The mean distance of two clusters is 1 less the product of their mean vectors, so a cluster is one vector, and memory grows
+    with the vectors. Each cluster knows its nearest later one. A merge brings none nearer than the nearer of the two was, so what a
+    cluster knows stays a lower bound, and is only renewed when it is the least of all. Distances count to 12 digits: so equally near
+    pairs are those that would be without rounding errors."""
+    n = len(u)
+    mean, size, first = np.array(u, float), np.ones(n), np.arange(n)
+    owner = np.arange(n)  # of each item: the first item of the cluster that it was last merged into
+    near, far, stale, dead = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n, bool), np.zeros(n, bool)
+    step = max(1, MOST_HELD // max(1, n))
+    for i in range(0, n - 1, step):
+        d = np.round(np.clip(1 - mean[i : i + step] @ mean[i:].T, 0, 2), 12)
+        d[np.tril_indices(len(d), 0, d.shape[1])] = np.inf
+        near[i : i + step] = d.argmin(1) + i
+        far[i : i + step] = d.min(1)
+    left = n
+    while left > 1:
+        a = int(far.argmin())
+        if far[a] > threshold + 1e-12:
+            break
+        if stale[a]:
+            d = np.round(np.clip(1 - mean[a:] @ mean[a], 0, 2), 12)
+            d[dead[a:]] = d[0] = np.inf
+            at = int(d.argmin())
+            near[a], far[a], stale[a] = a + at, d[at], False
+            continue
+        b = int(near[a])
+        mean[a] = (mean[a] * size[a] + mean[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        owner[first[b]] = first[a]
+        dead[b], far[b] = True, np.inf
+        stale |= (near == a) | (near == b)
+        stale[a] = True
+        left -= 1
+        if 2 * left < len(mean) and left > 64:
+            keep = np.flatnonzero(~dead)
+            moved = np.cumsum(~dead) - 1
+            # A nearest that is gone was merged: that cluster is stale, so where it points doesn't count.
+            near = moved[near[keep]]
+            mean, size, first, far, stale, dead = mean[keep], size[keep], first[keep], far[keep], stale[keep], dead[keep]
+    for i in range(n):  # owners come before what they own
+        owner[i] = owner[owner[i]]
+    return np.unique(owner, return_inverse=True)[1].tolist()
+
+
 def cluster_groups(df: DataFrame, threshold: float = 0.7) -> DataFrame:
     """grp, id, cluster. df: grp, id, vec (array). Zero vectors are -1, not clustered."""
 
@@ -49,7 +100,7 @@ def cluster_groups(df: DataFrame, threshold: float = 0.7) -> DataFrame:
         out = np.full(len(pdf), -1)
         if len(has):
             u = v[has] / size[has, None]
-            out[has] = average_linkage(np.clip(1 - u @ u.T, 0, 2), threshold)
+            out[has] = average_linkage_of(u, threshold)
         return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "cluster": out})
 
     kinds = dict(df.dtypes)

@@ -26,6 +26,44 @@ def test_clusters_of_groups(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: -1, 5: 0}
 
 
+def _all_pairs(u, threshold):
+    """Clusters by the mean of all distances, each time; equally near ones to 12 digits."""
+    d, groups = np.clip(1 - u @ u.T, 0, 2), [[i] for i in range(len(u))]
+    while len(groups) > 1:
+        least, a, b = min((round(float(d[np.ix_(x, y)].mean()), 12), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        if least > threshold + 1e-12:
+            break
+        groups[a] += groups.pop(b)
+    at = {i: c for c, g in enumerate(groups) for i in g}
+    return [at[i] for i in range(len(u))]
+
+
+def test_average_linkage_of_vectors_agrees_with_all_pairs():
+    rng = np.random.default_rng(2)
+    for turn in range(24):
+        n, dim = int(rng.integers(1, 24)), int(rng.integers(2, 6))
+        v = rng.normal(size=(4, dim))[rng.integers(0, 4, n)] + rng.normal(size=(n, dim)) * rng.choice([0, 0.1, 0.5])
+        v = np.round(v) if turn % 3 == 0 else v
+        v = v[np.linalg.norm(v, axis=1) > 0]
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        for threshold in (0.1, 0.7, 2.5):
+            assert grouped.average_linkage_of(u, threshold) == _all_pairs(u, threshold)
+    assert grouped.average_linkage_of(np.zeros((0, 3))) == []
+
+
+def test_large_group_is_clustered_without_its_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 16))[np.arange(3000) % 40] + rng.normal(size=(3000, 16)) * 0.05
+    tracemalloc.start()
+    got = grouped.average_linkage_of(v / np.linalg.norm(v, axis=1)[:, None])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len({tuple(got[i::40]) for i in range(40)}) <= 40 and all(len(set(got[i::40])) == 1 for i in range(40))
+    assert most < 8 * 3000 * 3000  # less than one matrix of all distances
+
+
 def test_linear_svm():
     rows = [{"a": 1.0}, {"b": 1.0}, {"a": 1.0, "c": 1.0}, {"b": 1.0, "c": 1.0}]
     m = grouped.LinearSvm(seed=3).fit(rows, ["x", "y", "x", "y"])
