@@ -358,9 +358,7 @@ _COSINE = "1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, {_COSINE}), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label")
 def cosine_pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    a, b = v.select(F.col("id").alias("a"), F.col("vec").alias("va"), "label"), v.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "label")
-    return a.join(b, "label").filter("a < b").select("a", "b", F.round(V.cosine_distance(F.col("va"), F.col("vb")), 6).alias("distance"))
+    return mining.label_distances(_vectors(spark, sf_dir))
 
 
 @query(

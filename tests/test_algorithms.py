@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from modelloom.functions import lexical as L
+from modelloom.functions import vectors as V
 from modelloom.operators import checks, corpus, grouped, metrics, mining
 from pyspark.sql import functions as F
 
@@ -64,6 +65,28 @@ def test_large_group_is_clustered_without_its_pairs():
     assert most < 8 * 3000 * 3000  # less than one matrix of all distances
 
 
+def test_distances_within_labels_agree_with_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(size=3)], int(i % 3 == 0)) for i in rng.permutation(60)]
+    rows += [(60, [0.0] * 3, 0), (61, None, 0), (62, [1.0, 2.0], 0), (63, [1.0, None, 2.0], 0), (64, [], 0), (65, [1.0] * 3, None), (None, [1.0] * 3, 0), (7, [1.0] * 3, 1), (7, [2.0] * 3, 1)]
+    v = spark.createDataFrame(rows, "id long, vec array<float>, label int")
+    other = v.select(F.col("id").alias("b"), F.col("vec").alias("vb"), "label")
+    want = v.join(other, "label").filter("id < b").select(F.col("id").alias("a"), "b", F.round(V.cosine_distance(F.col("vec"), F.col("vb")), 6).alias("distance"))
+    for block in (7, 1000):
+        got = mining.label_distances(v, block)
+        assert got.columns == ["a", "b", "distance"]
+        assert sorted((r.a, r.b, f"{r.distance:.5f}") for r in got.collect()) == sorted((r.a, r.b, f"{r.distance:.5f}") for r in want.collect())
+    assert mining.label_distances(v.limit(0)).count() == 0
+
+
+def test_distances_deal_a_large_label_out(spark):
+    v = spark.range(400).selectExpr("id", "array(1.0D, CAST(id AS DOUBLE)) AS vec", "1 AS label")
+    dealt = mining.label_distances(v, 40)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    parts = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 400 * 399 // 2 and len(parts) > 1
+
+
 def test_linear_svm():
     rows = [{"a": 1.0}, {"b": 1.0}, {"a": 1.0, "c": 1.0}, {"b": 1.0, "c": 1.0}]
     m = grouped.LinearSvm(seed=3).fit(rows, ["x", "y", "x", "y"])
