@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BLOCK = 256
+#: Items that are worked on at once while fitting; a longer sequence is on its own.
+PIECE = 1 << 17
 
 
 @dataclass
@@ -93,6 +95,17 @@ class Crf:
         return p, joint.sum(2), np.array([(1 - begin).sum(), begin.sum()])
 
 
+def _pieces(first: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first item, end) of runs of whole sequences, of `most` items at most unless one is longer. No sequence bears on another, so each run is worked on alone."""
+    starts = np.r_[np.flatnonzero(first[1:]) + 1, len(first)]
+    out, at = [], 0
+    while at < len(first):
+        end = int(starts[max(np.searchsorted(starts, at + most, "right") - 1, np.searchsorted(starts, at, "right"))])
+        out.append((at, end))
+        at = end
+    return out
+
+
 def fit(features: np.ndarray, labels: np.ndarray, first: np.ndarray, size: int, rounds: int = 40, rate: float = 0.15, penalty: float = 1e-6) -> Crf:
     """Maximum likelihood by Adam over all items. size: number of possible features."""
     model = Crf(np.zeros(size))
@@ -105,13 +118,24 @@ def fit(features: np.ndarray, labels: np.ndarray, first: np.ndarray, size: int,
     begun = np.bincount(labels[first].astype(int), minlength=2)
     theta = np.zeros(size + 7)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    flat = features.ravel()
+    pieces = _pieces(first, PIECE)
     for k in range(1, rounds + 1):
-        p, expected, starts = model.marginals(model.scores(features), first, pairs=True)
-        g = y - p
-        grad = np.concatenate([np.bincount(flat, np.repeat(g, features.shape[1]), minlength=size), [g.sum()], (moved - expected).ravel(), begun - starts]) / n
+        grad, expected, starts = np.zeros_like(theta), np.zeros((2, 2)), np.zeros(2)
+        for a, b in pieces:
+            x = features[a:b]
+            p, moves, begins = model.marginals(model.scores(x), first[a:b], pairs=True)
+            g = y[a:b] - p
+            grad[:size] += np.bincount(x.ravel(), np.repeat(g, x.shape[1]), minlength=size)
+            grad[size] += g.sum()
+            expected += moves
+            starts += begins
+        grad[size + 1 :] = np.r_[(moved - expected).ravel(), begun - starts]
+        grad /= n
         grad -= penalty * theta
-        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
+        mean *= 0.9
+        mean += 0.1 * grad
+        square *= 0.99
+        square += 0.01 * grad * grad
         theta = theta + rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-9)
         model = Crf(theta[:size], float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5 :])
     model.weights = model.weights.astype(np.float32)

@@ -45,6 +45,27 @@ def test_fit_learns_a_chain():
     assert ((m.marginals(m.scores(x), first) > 0.5) == y).mean() > 0.75
 
 
+def test_fit_in_pieces_is_the_same_and_takes_less(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, size = 200_000, 1000
+    x, y, first = rng.integers(0, size, (n, 7)).astype(np.int32), rng.random(n) < 0.1, rng.random(n) < 0.01
+    first[0] = True
+    first[100:30_000] = False  # a sequence longer than a piece
+    most, models = [], []
+    for piece in (n, 10_000):
+        monkeypatch.setattr(crf, "PIECE", piece, raising=False)
+        tracemalloc.start()
+        models.append(crf.fit(x, y, first, size, rounds=3))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-5) and np.allclose(models[0].moves, models[1].moves)
+    assert most[1] < most[0] / 3
+    pieces = crf._pieces(first, 10_000)
+    assert [a for a, _ in pieces] == [0, *(b for _, b in pieces[:-1])] and pieces[-1][1] == n and all(first[a] for a, _ in pieces)
+
+
 def test_viterbi():
     rng = np.random.default_rng(2)
     s, row = rng.normal(size=(60, 3)) * 2, np.sort(rng.integers(0, 12, 60))
