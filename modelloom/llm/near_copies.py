@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelloom.llm import simhash
 from modelloom.llm import textarrays as A
 from modelloom.llm.common import dropped, released, saved
 from modelloom.llm.components import components
@@ -100,6 +101,7 @@ def _prints(size: int, similarity: float, often: np.ndarray):
                 sums = np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mixed(h))])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 sig = A.mixed(sums[ends[1:]] - sums[ends[:-1]] + n.astype(A.U64))
+                fp = simhash._majority(h, n)
                 if len(often) and len(h):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     h = h[np.lexsort((h, often[at] == h, r))]
@@ -111,7 +113,7 @@ def _prints(size: int, similarity: float, often: np.ndarray):
                 segment = (h >> A.U64(57)).astype(np.int64) + r * SEGMENTS
                 counts = np.minimum(np.bincount(segment, minlength=rows * SEGMENTS), 255).astype(np.uint8)
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SEGMENTS), rows, [None, pa.py_buffer(counts)]).cast(pa.binary())
-                yield pa.record_batch([part["doc_id"], part["th"], pa.array(uid), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int64)), prefix, sketch], names=["doc_id", "th", "uid", "sig", "n", "prefix", "sketch"])
+                yield pa.record_batch([part["doc_id"], part["th"], pa.array(uid), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int64)), prefix, sketch, pa.array(fp.view(np.int64))], names=["doc_id", "th", "uid", "sig", "n", "prefix", "sketch", "fp"])
 
     return run
 
@@ -188,18 +190,27 @@ def often(docs: DataFrame, size: int = SIZE, one_of: int = ONE_OF, at_least: int
     return np.sort(np.array(got, np.int64).view(A.U64))
 
 
-def near_groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def like_prints(classes: DataFrame, distance: int = simhash.DISTANCE, block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of classes (sig, fp) that links of their fingerprints lead through: of equal fingerprints, one class meets the others."""
+    heads = saved(classes.groupBy("fp").agg(F.min("sig").alias("head"), F.count("*").alias("many")), "heads")
+    same = classes.join(heads.filter("many > 1").select("fp", "head").hint("merge"), "fp").filter("sig != head").select("head", "sig")
+    of = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias("s" + x)).hint("merge")
+    met = simhash.near_links(heads.select("fp"), distance, block=block).distinct().join(of("a"), "a").join(of("b"), "b").select("sa", "sb")
+    return met.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def near_groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK, most_broadcast: int = MOST_BROADCAST, distance: int = simhash.DISTANCE) -> DataFrame:
     """One row for each row of docs: doc_id, th (the XXH64 of its text), root (the same for all rows that links lead to)."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     common = often(docs, size)
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    prints = base.mapInArrow(_prints(size, similarity, common), f"doc_id {id_type}, th long, uid long, sig long, n long, prefix array<long>, sketch binary")
+    prints = base.mapInArrow(_prints(size, similarity, common), f"doc_id {id_type}, th long, uid long, sig long, n long, prefix array<long>, sketch binary, fp long")
     prints = saved(prints, "prints")
     rows = saved(prints.select("doc_id", "th", "uid", "sig"), "rows")
     # One row stands for each class.
     first = saved(prints.groupBy("sig").agg(F.min("uid").alias("uid")).select("uid"), "firsts")
     one = prints.join(first.hint("merge"), "uid", "left_semi")
-    sketches = saved(one.select("sig", "n", "sketch"), "sketches")
+    sketches = saved(one.select("sig", "n", "sketch", "fp"), "sketches")
     keys = one.select("sig", "n", F.posexplode("prefix").alias("rank", "key")).withColumn("rank", F.col("rank").cast("long")).repartition("key")
     heads = _centres(keys, 0, F.count("*").alias("many")).filter("many > 1")
     shared = saved(keys.join(heads.hint("merge"), "key"), "shared")
@@ -228,9 +239,18 @@ def near_groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
         released(spark)
         return out
 
+    near = links(sketched(like_prints(sketches.select("sig", "fp"), distance, block)))
+    roots = components(near)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs that the links found so far leave in different components."""
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)).hint("merge")
+        met = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return met.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
     fits = (F.col("sig") != F.col("c_sig")) & _can_be(F.col("n"), F.col("rank"), F.col("c_n"), F.col("c_rank"), similarity)
     pair = [F.least("sig", "c_sig").alias("a"), F.greatest("sig", "c_sig").alias("b")]
-    near = links(sketched(shared.filter(fits).select(*pair)))
+    near = near.unionByName(links(sketched(apart(shared.filter(fits).select(*pair)))))
     roots = components(near)
     left = shared.filter("many > 2").select("key", "many", "sig", "n", "rank")
 

@@ -119,3 +119,18 @@ def test_mix_of_repeated_rows_keeps_its_sources(spark):
         taken[r.source] += len(r.text.split())
     # Weights 5, 2, 1 for s0, s1, null share 1200 words; no source gives over twice its own.
     assert taken == {"s0": 400, "s1": 533, None: 267}
+
+
+def test_near_copies_link_by_fingerprints_first(spark, rows, monkeypatch):
+    """Pairs of classes that SimHash leads through, and that the near-dedup stage takes them by pigeonring chains."""
+    prints = [(1, 0b1011), (2, 0b1011), (3, 0b1000), (4, (1 << 63) - 1), (5, (1 << 40) - 1)]
+    pairs = {(r.a, r.b) for r in near_copies.like_prints(spark.createDataFrame(prints, "sig long, fp long")).collect()}
+    assert pairs == {(1, 2), (1, 3)}
+    seen = []
+    plain = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda classes, *a, **k: seen.append(classes.count()) or plain(classes, *a, **k))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [(0, " ".join(base)), (1, " ".join([*base[:399], "other"])), (2, " ".join(reversed(base))), (3, None)]
+    roots = {r.doc_id: r.root for r in near_copies.near_groups(rows(texts)).collect()}
+    assert len(seen) == 1 and seen[0] >= 3 and roots[0] == roots[1] and len(set(roots.values())) == 3
