@@ -8,9 +8,11 @@ is run again leaves no trace of its first run. export() copies them out as plain
 
 A byte-level vocabulary splits a text before a space between two characters that are not white
 space, around a single line end between such characters, and between letters and marks, in whichever
-context. So runs between such places are encoded once and their ids kept: at most about `most_kept`
-runs in a worker, none longer than LONGEST characters, and in each lot of texts only those that are
-new to the worker are encoded. Other vocabularies are refused.
+context. So the pieces between such places are encoded once and their ids kept. Pieces are found,
+looked up and put together as bytes, many at a time: one of up to SHORT bytes is known by those bytes
+in two integers, so that no two are taken for each other. At most about twice `most_kept` pieces
+are in a worker, none longer than LONGEST bytes, and in each lot of texts only those that are new to
+the worker are encoded. Other vocabularies are refused.
 
 Null text is the empty text: the end id alone. Null doc_ids come first; rows of one doc_id are
 ordered by text. An empty table gives no file. Other columns are ignored. Ids are integers.
@@ -22,7 +24,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,13 +38,21 @@ from modelloom.llm.common import saved
 from modelloom.llm.wavelet import WaveletMatrix, encode
 
 END, SHARD_TOKENS, MOST_KEPT = 2, 1 << 20, 600_000
-#: Bytes of text that are cut into runs at once; no run of over LONGEST characters is kept.
-AT_ONCE, LONGEST = 1 << 20, 64
+#: Bytes of text that are cut into pieces at once; no piece of over LONGEST bytes is kept, the bytes of one of up to SHORT are its key.
+AT_ONCE, LONGEST, SHORT = 1 << 20, 256, 15
 #: Letters, then marks: encoded apart, whatever is around them.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
-#: Runs with a space after each: letters and marks, or anything else.
-_CUT = re.compile(rf"{_WORD.pattern}(?: |\Z)|([^ ]+)(?: |\Z)")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A piece that the vocabulary's pattern takes whole, as bytes.
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_SAFE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: Of each byte: 0 in a letter, 1 a mark, 2 anything else. Bytes after the first of a character count as letters; 2 for the first tells.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 192), 195]] = 0
+_KIND[list(b".,;:!?%$&*#|")] = 1
+_WHITE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+#: White space of more than one byte.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -72,10 +82,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Texts to ids. What a run is encoded to is kept, as a part of one array of ids.
+    """Texts to ids. What a piece is encoded to is kept, as a part of one array of ids.
 
-    A run is known by its text, after a mark where it doesn't follow a space: "\\r" for the first of
-    a text, "\\n" for the first of a line. The space or the line end is part of what it is encoded to.
+    Short pieces are found by hashing with open addressing, in arrays; the longer ones by a dict.
     """
 
     def __init__(self, model: str, most_kept: int = MOST_KEPT):
@@ -83,29 +92,33 @@ class Encoder:
 
         self.tokenizer, self.most_kept = Tokenizer.from_str(checked(model)), most_kept
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
+        self.dtype = np.uint16 if self.bits <= 16 else np.uint32
         # The same model without the pattern, for words that the pattern takes whole: a line each, in byte letters.
         self.letters = _byte_letters()
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
-        self.newline = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "removed")
+        vocab = self.bare.get_vocab(with_added_tokens=False)
+        #: Bytes of each id. Those of a word's ids add up to the word, as no byte is unknown.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(x) for x in vocab]
+        self.whole = all(x in vocab for x in self.letters.values())
         self._clear()
 
     def _clear(self) -> None:
-        #: Places in the array of runs, and of words (with the space before them, if any) and marks.
-        self.runs: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
-        self.ids, self.used, self.places = np.zeros(1 << 16, np.uint32), 0, 0
-        self.at, self.n, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self._add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        self._add(self.newline, np.array([len(self.newline)]))
-        self.parts.update({"": 0, "\n": 1})
+        self.ids, self.used, self.places = np.zeros(1 << 16, self.dtype), 0, 0
+        self.at, self.n, self.hits = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.low, self.high = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.slots = np.full(1 << 13, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        # Place 0: no ids. No short piece has its key.
+        self._add(np.zeros(0, self.dtype), np.zeros(1, np.int64))
 
     def _add(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Adds parts of these sizes to the array; their places."""
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.places + len(sizes) > len(self.at):
-            self.at, self.n, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.hits))
+            self.at, self.n, self.hits, self.low, self.high = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.hits, self.low, self.high))
         place = np.arange(self.places, self.places + len(sizes))
         self.ids[self.used : self.used + len(flat)] = flat
         self.at[place], self.n[place], self.hits[place] = self.used + np.cumsum(sizes) - sizes, sizes, 0
@@ -118,105 +131,152 @@ class Encoder:
         ends = np.cumsum(n)
         return self.ids[np.arange(int(n.sum())) + np.repeat(self.at[places] - ends + n, n)], n
 
-    def _plain(self, texts: list[str]) -> np.ndarray:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        return self._add(np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
-
-    def _words(self, words: list[str], before: str) -> None:
-        """Words of letters only, with this before them: one piece each to the vocabulary's pattern. Encoded in one go."""
-        new = list({before + w for w in words if w}.difference(self.parts))
-        if new:
-            lines = "\n".join(new).encode().decode("latin-1").translate(self.letters)
-            flat = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
-            cut = flat == self.newline[0]
-            ends = np.append(np.flatnonzero(cut), len(flat)) - np.arange(len(new))
-            self.parts.update(zip(new, self._add(flat[~cut], np.diff(ends, prepend=0)).tolist()))
-
-    def _learn(self, bodies: list[str], before: str) -> np.ndarray:
-        """Places of word and marks for each body without a space, as pairs."""
-        cut = _CUT.findall(" ".join(bodies))
-        words, marks, other = zip(*cut)
-        self._words(words, before)
-        fresh = list(set(marks).difference(self.parts))
-        self.parts.update(zip(fresh, self._plain(fresh).tolist()))
-        place = self.parts.__getitem__
-        first = np.fromiter(map(place, [before + w if w else "" for w in words]), np.int64, len(words))
-        odd = [i for i, x in enumerate(other) if x]
-        first[odd] = self._plain([before + other[i] for i in odd])
-        return np.stack([first, np.fromiter(map(place, marks), np.int64, len(marks))], 1)
-
-    def _keep(self, runs: list[str]) -> np.ndarray:
-        """Encodes runs that aren't kept yet; their places."""
-        long = [len(r) > LONGEST or " " in r for r in runs]
-        kinds: dict[str, list[int]] = {"\r": [], "\n": [], " ": [], "": []}
-        for i, (r, x) in enumerate(zip(runs, long)):
-            kinds["" if x or r == "\r" else r[0] if r[0] in "\r\n" else " "].append(i)
-        parts = np.zeros((len(runs), 3), np.int64)
-        if kinds[" "]:
-            parts[kinds[" "], 1:] = self._learn([runs[i] for i in kinds[" "]], " ")
-        for mark in "\r\n":
-            if kinds[mark]:
-                parts[kinds[mark], 1:] = self._learn([runs[i][1:] for i in kinds[mark]], "")
-        parts[kinds[""], 1] = self._plain([runs[i][1:] if runs[i][0] in "\r\n" else " " + runs[i] for i in kinds[""]])
-        parts[[i for i, r in enumerate(runs) if r[0] == "\n"], 0] = 1
-        flat, n = self._ids(parts.ravel())
-        place = self._add(flat, n.reshape(-1, 3).sum(1))
-        self.runs.update((r, p) for r, p, x in zip(runs, place.tolist(), long) if not x)
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Where the search for a key begins."""
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(32)).astype(np.int64) & (len(self.slots) - 1)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The places of these keys, -1 where there is none."""
+        slot = self._slot(low, high)
+        out = self.slots[slot]
+        # Slot by slot, for those whose slot holds another key.
+        left = np.flatnonzero((out >= 0) & ((self.low[out] != low) | (self.high[out] != high)))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
+            out[left] = got = self.slots[slot[left]]
+            left = left[(got >= 0) & ((self.low[got] != low[left]) | (self.high[got] != high[left]))]
+        return out.astype(np.int64)
+
+    def _enter(self, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Makes these places known by their keys, which are distinct and new."""
+        self.low[place], self.high[place] = low, high
+        if 2 * self.places > len(self.slots):
+            known = np.concatenate([self.slots[self.slots >= 0], place])
+            self.slots = np.full(1 << (4 * self.places).bit_length(), -1, np.int32)
+            place, low, high = known, self.low[known], self.high[known]
+        slot = self._slot(low, high)
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]
+            left = self.slots[slot] != place
+            place, slot = place[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes pieces that aren't kept yet; their places. Words that the pattern takes whole are encoded in one go."""
+        words = [bool(self.whole and _PLAIN.fullmatch(x)) for x in pieces]
+        place = np.zeros(len(pieces), np.int64)
+        own = [x for x, w in zip(pieces, words) if w]
+        if own:
+            lines = b"\n".join(own).decode("latin-1").translate(self.letters)
+            flat = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum([len(x) for x in own])) + 1
+            place[words] = self._add(flat, np.diff(ends, prepend=0))
+        rest = [x.decode() for x, w in zip(pieces, words) if not w]
+        if rest:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            place[~np.array(words)] = self._add(np.fromiter(chain.from_iterable(got), self.dtype), np.array([len(x) for x in got], np.int64))
         return place
 
     def _trim(self) -> None:
-        """Of too many runs, those go that were met in one lot of texts only; if most were met again, all go. Words and marks go too."""
-        if self.places <= 2 * self.most_kept:
+        """Of too many pieces, those stay that were met in more than one lot of texts: the ones met in most lots, as far as there is room."""
+        if self.places <= 2 * self.most_kept and self.used <= 16 * self.most_kept:
             return
-        keep = [(run, at) for run, at in self.runs.items() if self.hits[at] > 1]
-        flat, n = self._ids(np.array([at for _, at in keep], np.int64))
+        short, names = self.slots[self.slots >= 0].astype(np.int64), list(self.long)
+        places = np.concatenate([short, np.array([self.long[x] for x in names], np.int64)])
+        order = np.argsort(-self.hits[places], kind="stable")[: self.most_kept]
+        order = order[(self.hits[places[order]] > 1) & (np.cumsum(self.n[places[order]], dtype=np.int64) <= 8 * self.most_kept)]
+        order.sort()
+        own, far = short[order[order < len(short)]], order[order >= len(short)] - len(short)
+        (flat, n), low, high = self._ids(places[order]), self.low[own], self.high[own]
         self._clear()
-        if len(keep) <= self.most_kept:
-            self.runs.update(zip([run for run, _ in keep], self._add(flat, n).tolist()))
+        place = self._add(flat, n)
+        self._enter(place[: len(own)], low, high)
+        self.long.update(zip([names[i] for i in far.tolist()], place[len(own) :].tolist()))
 
     @staticmethod
-    def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct runs, the run at each place, each text's first place, each text's number of places). Words with single
-        spaces or line ends between them are cut by Arrow."""
-        easy, hard, order, rest = [], [], [], []
-        for i, t in enumerate(texts):
-            flat = t.replace("\n", " ")
-            if "  " in flat or not flat.isprintable() or flat[:1] == " " or flat[-1:] == " ":
-                parts = _SAFE.split(t)
-                hard.append(["\r" + parts[0], *parts[1:]])
-                rest.append(i)
-            else:
-                easy.append("\r" + t.replace("\n", " \n"))
-                order.append(i)
-        lists = pc.split_pattern(pa.array(easy, pa.large_string()), " ")
-        coded = lists.values.dictionary_encode()
-        names, at = [], coded.indices.to_numpy()
-        if easy:
-            d = coded.dictionary
-            names = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(d)], pa.int64()), d), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
-        ends = np.asarray(lists.offsets, np.int64)
-        if hard:
-            where = {x: i for i, x in enumerate(names)}
-            more = [where.setdefault(x, len(where)) for x in chain.from_iterable(hard)]
-            names = list(where)
-            at = np.concatenate([at, more])
-            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in hard])])
-        first, count = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
-        first[order + rest], count[order + rest] = ends[:-1], np.diff(ends)
-        return names, at, first, count
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(the texts' bytes, with a byte before each and one after all, the start of each piece and the end of the last, each
+        text's first byte). The byte before a text is a piece of its own."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = b"\r" + pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts), pa.scalar(b"\r", pa.large_binary()))[0].as_buffer().to_pybytes() + b"\r"
+        b = np.frombuffer(raw, np.uint8)
+        first = np.cumsum(size + 1) - size
+        kind, white = _KIND[b], _WHITE[b]
+        # Signs that are no letters, though their bytes are alike.
+        sign = np.flatnonzero(b == 0xC3)
+        kind[sign[np.isin(b[sign + 1], (0x97, 0xB7))]] = 2
+        for m in _WIDE.finditer(raw) if (b >= 0xE1).any() or (b == 0xC2).any() else ():
+            white[m.start() : m.end()] = True
+        cut = np.zeros(len(b), bool)
+        cut[1:-1] = ((b[1:-1] == 32) | (b[1:-1] == 10)) & ~white[:-2] & ~white[2:]
+        cut[first - 1] = True
+        cut[-1] = True
+        # Runs from one such place to the next: letters and marks after the first byte, or anything else.
+        starts = np.flatnonzero(cut)
+        odd = (kind == 2) & ~cut
+        odd[1:] |= (kind[:-1] == 1) & (kind[1:] == 0)
+        other = np.zeros(len(starts), bool)
+        other[np.searchsorted(starts, np.flatnonzero(odd), "right") - 1] = True
+        other[:-1] |= kind[starts[:-1] + 1] != 0
+        marks = np.flatnonzero((kind[:-1] == 0) & (kind[1:] == 1)) + 1
+        cut[marks[~other[np.searchsorted(starts, marks, "right") - 1]]] = True
+        # A line end, and the byte before a text, apart from what follows.
+        cut[starts[:-1][b[starts[:-1]] != 32] + 1] = True
+        return raw, np.flatnonzero(cut), first
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, the end of each text's in them)."""
-        names, at, first, count = self._cut(texts)
-        place = np.fromiter(map(self.runs.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(place < 0)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string()).cast(pa.large_binary())
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if len(texts) > 1 or pc.binary_length(texts)[0].as_py() <= 2 * AT_ONCE:
+            return self._encode(texts)
+        # One long text, cut where its pieces are.
+        text, parts, at = texts[0].as_py(), [], 0
+        while at < len(text):
+            m = _SAFE.search(text, at + AT_ONCE)
+            stop = m.start() if m else len(text)
+            parts.append(self._encode(pa.array([text[at:stop]], pa.large_binary()))[0])
+            at = stop
+        out = np.concatenate(parts)
+        return out, np.array([len(out)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, starts, first = self._cut(texts)
+        size = np.diff(starts)
+        starts = starts[:-1]
+        eights = np.ndarray(len(raw) + 8, "<u8", raw + bytes(15), strides=(1,))
+        low = eights[starts] & _LOW[np.minimum(size, 8)]
+        high = eights[starts + 8] & _LOW[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+        place = self._find(low, high)
+        long = np.flatnonzero(size > SHORT)
+        longs = [raw[x : x + n] for x, n in zip(starts[long].tolist(), size[long].tolist())]
+        place[long] = [self.long.get(x, -1) for x in longs]
+        edges = np.searchsorted(starts, first - 1)
+        place[edges] = 0
+        new = np.flatnonzero((place < 0) & (size <= SHORT))
+        new = new[np.lexsort((low[new], high[new]))]
         if len(new):
-            place[new] = self._keep([names[i] for i in new.tolist()])
-        self.hits[place] += 1
-        ends = np.cumsum(count)
-        out, n = self._ids(place[at[np.arange(int(count.sum())) + np.repeat(first - ends + count, count)]])
+            fresh = np.append(True, (low[new[1:]] != low[new[:-1]]) | (high[new[1:]] != high[new[:-1]]))
+            once = new[fresh]
+            got = self._learn([raw[x : x + n] for x, n in zip(starts[once].tolist(), size[once].tolist())])
+            self._enter(got, low[once], high[once])
+            place[new] = got[np.cumsum(fresh) - 1]
+        fresh = list({x for x in longs if x not in self.long})
+        if fresh:
+            found = dict(zip(fresh, self._learn(fresh).tolist()))
+            self.long.update((x, at) for x, at in found.items() if len(x) <= LONGEST)
+            place[long] = [found[x] if x in found else self.long[x] for x in longs]
+        met = np.zeros(self.places, bool)
+        met[place] = True
+        self.hits[: self.places] += met
+        out, n = self._ids(place)
         self._trim()
-        return out, np.concatenate([[0], np.cumsum(n)])[ends]
+        return out, np.cumsum(n)[np.append(edges[1:], len(n)) - 1]
 
 
 def _encoder(model: str, most_kept: int) -> Encoder:
@@ -249,8 +309,7 @@ def _write(model: str, end_id: int, shard_tokens: int, most_kept: int):
 
         for b in batches:
             for own in _lots(b):
-                texts = [t or "" for t in own["text"].to_pylist()]
-                data, ends = encoder.encode(texts)
+                data, ends = encoder.encode(pc.fill_null(own["text"], ""))
                 for doc_id, x, y in zip(own["doc_id"].to_pylist(), [0, *ends.tolist()], ends.tolist()):
                     ids.append(doc_id)
                     parts += [data[x:y], end]
